@@ -16,6 +16,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.bpe import round_trips
+
+    return round_trips(table(spark, sf_dir, "documents"), "byte_bpe_multi_50k.tiktoken")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm.simhash import near_duplicates
 
@@ -36,6 +42,12 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op8_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.webp import media_features, media_rows
+
+    return media_features(media_rows(table(spark, sf_dir, "documents")))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm.toxicity import classify
 
