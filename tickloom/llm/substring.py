@@ -4,25 +4,27 @@ A window is WINDOW consecutive words. COVER is a difference cover modulo PERIOD:
 which the same window stands, some shift below PERIOD takes both to positions that are in COVER modulo
 PERIOD. So it is enough to hash the ANCHOR words that begin at such positions; every window that two
 documents share holds an anchor that both have hashed, since ANCHOR + PERIOD - 1 = WINDOW. Anchors that
-only one document has are dropped; the others are extended: only windows around a shared anchor are
-hashed in full (128 bits), and of each only its smallest document is kept.
-
-Both groupings combine before their shuffle and hold a minimum and a maximum for each hash, so a passage
-that a third of all documents share costs one row a task; the joins back are plain sort-merge joins,
-which adaptive execution splits where a hash is hot. No pair of documents is ever formed.
+only one document has are dropped; the others are extended: windows around a shared anchor are hashed in
+full (96 bits), and those that a smaller document has too are hits.
+
+Both groupings combine in the task before the one shuffle that each takes: a task works on its rows in
+chunks of bounded size; where a chunk alone shows that a hash is shared, its documents are told so
+directly, and one row stands for them in the shuffle. So a passage that a third of all documents share
+costs one row a chunk, and no pair of documents is ever formed. The shuffle of the texts by document is
+the same for both joins and is made once.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import LAST_ID, checkpoint, id_text, map_rows, slices
+from tickloom.llm.common import LAST_ID, id_text, slices
 
 WINDOW = 50
 PERIOD = 31
@@ -31,7 +33,8 @@ COVER = (0, 1, 3, 8, 12, 18)
 ANCHOR = WINDOW - PERIOD + 1
 #: Odd multipliers of the two rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-WORDS_HELD = 200_000
+#: Hashes that a chunk holds before it is combined.
+CHUNK = 1 << 20
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -39,143 +42,171 @@ def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
-class _WordHashes(dict):
-    """Hash of a word, held for the words met so far."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= WORDS_HELD:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, 7)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Spread the bits (the finalizer of a 64-bit hash)."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
 
 
 class _Rolling:
-    """Hashes of all runs of n words by prefix sums modulo 2^64."""
+    """Hashes of spans of bytes by prefix sums modulo 2^64; every byte counts as a mixed value."""
 
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
         self.up = self.down = np.ones(1, np.uint64)
+        self.value = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(base))
 
-    def _grow(self, n: int) -> None:
+    def spans(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        n = len(raw) + 1
         if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
-            self.up, self.down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, b, np.uint64))), dtype=np.uint64) for b in (self.base, self.inverse))
-
-    def runs(self, words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-        self._grow(len(words) + 1)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * self.up[: len(words)], dtype=np.uint64)))
-        return _mixed((total[starts + n] - total[starts]) * self.down[starts])
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """Spread the bits (the finalizer of a 64-bit hash)."""
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+            self.up, self.down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(2 * n, b, np.uint64))), dtype=np.uint64) for b in (self.base, self.inverse))
+        total = np.zeros(n, np.uint64)
+        np.cumsum(self.value[raw] * self.up[: n - 1], dtype=np.uint64, out=total[1:])
+        return _mixed((total[ends] - total[starts]) * self.down[starts])
 
 
 class _Hasher:
+    """Hashes of runs of words: of the words joined by one space, so what parts them doesn't matter."""
+
     def __init__(self):
-        self.words, self.rolling = _WordHashes(), [_Rolling(b) for b in BASES]
+        self.rolling = [_Rolling(b) for b in BASES]
+
+    def runs(self, words: list[bytes], starts: np.ndarray, n: int, which: int = 0) -> np.ndarray:
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        firsts = np.concatenate((np.zeros(1, np.int64), ends[:-1] + 1))
+        return self.rolling[which].spans(np.frombuffer(b" ".join(words), np.uint8), firsts[starts], ends[starts + n - 1]).view(np.int64)
 
     def anchors(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in the cover and the hashes of the anchors there, for a text with a whole window."""
+        """Positions in the cover and the hashes of the anchors there."""
         last = len(words) - ANCHOR
         at = (np.arange(0, last + 1, PERIOD)[:, None] + np.array(COVER)[None, :]).reshape(-1)
         at = at[at <= last]
-        return at, self.rolling[0].runs(self.words.of(words), at, ANCHOR).view(np.int64)
-
-    def windows(self, words: list[bytes], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = self.words.of(words)
-        return self.rolling[0].runs(own, starts, WINDOW).view(np.int64), self.rolling[1].runs(_mixed(own ^ np.uint64(BASES[1])), starts, WINDOW).view(np.int64)
-
-
-def _anchor_rows(part: pa.RecordBatch, hasher: _Hasher) -> dict:
-    h, doc, pos = [], [], []
-    for key, text in zip(part.column("doc").to_pylist(), part.column("text").to_pylist(), strict=True):
-        words = split_words(text)
-        if len(words) >= WINDOW:
-            at, hashes = hasher.anchors(words)
-            h.append(hashes)
-            doc.append(np.full(len(at), key, np.int64))
-            pos.append(at.astype(np.int32))
-    return {"h": _joined(h, np.int64), "doc": _joined(doc, np.int64), "pos": _joined(pos, np.int32)}
-
-
-def _joined(parts: list[np.ndarray], kind) -> np.ndarray:
-    return np.concatenate(parts) if parts else np.array([], kind)
+        return at, self.runs(words, at, ANCHOR)
 
 
 def _around(anchors: np.ndarray, n_words: int) -> np.ndarray:
     """Starts of the windows that hold a whole anchor at one of the positions."""
     opened = np.zeros(n_words + 2, np.int32)
-    anchors = np.unique(anchors)
-    anchors = anchors[anchors + ANCHOR <= n_words]
     np.add.at(opened, np.maximum(anchors - (WINDOW - ANCHOR), 0), 1)
     np.add.at(opened, np.minimum(anchors, n_words - WINDOW) + 1, -1)
-    return np.flatnonzero(np.cumsum(opened)[: max(0, n_words - WINDOW + 1)] > 0)
+    return np.flatnonzero(np.cumsum(opened)[: n_words - WINDOW + 1] > 0)
 
 
-def _window_rows(part: pa.RecordBatch, hasher: _Hasher) -> dict:
-    h1, h2, doc = [], [], []
-    for key, text, anchors in zip(part.column("doc").to_pylist(), part.column("text").to_pylist(), part.column("anchors").to_pylist(), strict=True):
-        words = split_words(text)
-        if len(words) >= WINDOW:
-            a, b = hasher.windows(words, _around(np.array(anchors, np.int64), len(words)))
-            both = np.unique(np.stack([a, b], axis=1), axis=0)  # what a document repeats counts once
-            h1.append(both[:, 0])
-            h2.append(both[:, 1])
-            doc.append(np.full(len(both), key, np.int64))
-    return {"h1": _joined(h1, np.int64), "h2": _joined(h2, np.int64), "doc": _joined(doc, np.int64)}
+def _first_of(keys: list[np.ndarray]) -> np.ndarray:
+    """Of sorted columns, whether a row differs from the one before."""
+    out = np.ones(len(keys[0]), bool)
+    if len(out) > 1:
+        out[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return out
 
 
-def covered(words: list[bytes], starts: np.ndarray) -> np.ndarray:
+def _chunked(batches: Iterator[pa.RecordBatch], column: str, hashes: Callable, tell: Callable, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Gather (hashes..., doc) of the rows up to CHUNK, sort out what repeats, and let `tell` make the rows to send."""
+    held, size = [], 0
+
+    def combined() -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*held)]
+        order = np.lexsort(columns[::-1])
+        columns = [c[order] for c in columns]
+        once = _first_of(columns)
+        columns = [c[once] for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in tell(columns)], names=names)
+
+    hasher = _Hasher()
+    for part in slices(batches, column):
+        for row in zip(*(part.column(c).to_pylist() for c in part.schema.names)):
+            found = hashes(hasher, dict(zip(part.schema.names, row)))
+            if found is not None and len(found[0]):
+                held.append(found)
+                size += len(found[0])
+                if size >= CHUNK:
+                    yield combined()
+                    held, size = [], 0
+    if held:
+        yield combined()
+
+
+def _groups(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """First row of each group, and its size for every row."""
+    first = np.flatnonzero(_first_of(keys))
+    sizes = np.diff(np.append(first, len(keys[0])))
+    return first, np.repeat(sizes, sizes)
+
+
+def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, doc, known): known 1 tells a document that it shares h; 0 asks, for all documents of the chunk."""
+
+    def hashes(hasher: _Hasher, row: dict) -> tuple | None:
+        words = split_words(row["text"])
+        if len(words) < WINDOW:
+            return None
+        _, h = hasher.anchors(words)
+        return h, np.full(len(h), row["doc"], np.int64)
+
+    def tell(columns: list[np.ndarray]) -> list[np.ndarray]:
+        h, doc = columns
+        first, size = _groups([h])
+        many = size > 1
+        return [np.concatenate((h[first], h[many])), np.concatenate((doc[first], doc[many])), np.repeat(np.int32([0, 1]), [len(first), int(many.sum())])]
+
+    return _chunked(batches, "text", hashes, tell, ["h", "doc", "known"])
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h1, h2, doc, known): known 1 tells a document that a smaller one has the window; 0 asks, for the smallest of the chunk."""
+
+    def hashes(hasher: _Hasher, row: dict) -> tuple | None:
+        words = split_words(row["in_text"])
+        if len(words) < WINDOW:
+            return None
+        at, h = hasher.anchors(words)
+        starts = _around(at[np.isin(h, np.array(row["shared"], np.int64))], len(words))
+        h1 = hasher.runs(words, starts, WINDOW)
+        return h1, hasher.runs(words, starts, WINDOW, 1).astype(np.int32), np.full(len(h1), row["doc"], np.int64)
+
+    def tell(columns: list[np.ndarray]) -> list[np.ndarray]:
+        first, _ = _groups(columns[:2])
+        asks = np.zeros(len(columns[0]), bool)
+        asks[first] = True
+        return [*columns, (~asks).astype(np.int32)]
+
+    return _chunked(batches, "in_text", hashes, tell, ["h1", "h2", "doc", "known"])
+
+
+def covered(n_words: int, starts: np.ndarray) -> np.ndarray:
     """Which words the windows at `starts` cover."""
-    opened = np.zeros(len(words) + 1, np.int32)
+    opened = np.zeros(n_words + 1, np.int32)
     np.add.at(opened, starts, 1)
     np.add.at(opened, starts + WINDOW, -1)
-    return np.cumsum(opened)[: len(words)] > 0
+    return np.cumsum(opened)[:n_words] > 0
 
 
-def _take_out(text: str | None, anchors: list[int] | None, hits: list[int] | None, hasher: _Hasher) -> tuple[list[bytes], int]:
+def _take_out(text: str | None, hits: list[int] | None, hasher: _Hasher) -> tuple[list[bytes], int]:
     """The words that stay, and how many go."""
     words = split_words(text)
     if not hits or len(words) < WINDOW:
         return words, 0
-    starts = _around(np.array(anchors, np.int64), len(words))
-    first, _ = hasher.windows(words, starts)
-    away = covered(words, starts[np.isin(first, np.array(hits, np.int64))])
+    h = hasher.runs(words, np.arange(len(words) - WINDOW + 1), WINDOW)
+    away = covered(len(words), np.flatnonzero(np.isin(h, np.array(hits, np.int64))))
     return [w for w, x in zip(words, away.tolist(), strict=True) if not x], int(away.sum())
 
 
-def _report(part: pa.RecordBatch, hasher: _Hasher) -> dict:
-    out: dict[str, list] = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept_sha256")}
-    for key, text, anchors, hits in zip(*(part.column(c).to_pylist() for c in ("in_doc_id", "in_text", "anchors", "hits")), strict=True):
-        kept, gone = _take_out(text, anchors, hits, hasher)
-        out["doc_id"].append(key)
-        out["n_words"].append(len(kept) + gone)
-        out["n_removed"].append(gone)
-        out["kept_sha256"].append(hashlib.sha256(b" ".join(kept)).hexdigest())
-    return out
-
-
 def _judged(docs: DataFrame) -> DataFrame:
-    """The rows of docs (their columns under the prefix in_) with `anchors` and `hits`, the hashes of windows to take out."""
-    texts = id_text(docs).select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc"), "text")
-    anchors = map_rows(texts, "text", _anchor_rows, "h long, doc long, pos int", _Hasher)
-    shared = anchors.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h")
-    near = checkpoint(anchors.join(checkpoint(shared).hint("merge"), "h", "left_semi").groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("anchors")))
-    candidates = texts.join(near, "doc")
-    windows = checkpoint(map_rows(candidates, "text", _window_rows, "h1 long, h2 long, doc long", _Hasher))
-    firsts = windows.groupBy("h1", "h2").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h1", "h2", "low")
-    hits = windows.join(firsts.hint("merge"), ["h1", "h2"]).where("doc > low").groupBy("doc").agg(F.collect_set("h1").alias("hits"))
+    """The rows of docs, their columns under the prefix in_, with `hits`: the hashes of windows to take out."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), *(F.col(c).alias(f"in_{c}") for c in docs.columns))
-    return rows.join(near.join(hits, "doc"), "doc", "left").drop("doc")
+    asked = rows.select("doc", F.col("in_text").alias("text")).mapInArrow(_anchor_rows, "h long, doc long, known int")
+    # what is known goes to its document, what is asked to its hash; a group has a row a chunk at most
+    to = F.when(F.col("known") == 1, F.xxhash64("doc"))
+    group = Window.partitionBy("to", "known", "h")
+    shared = (asked.withColumn("to", F.coalesce(to, "h"))
+        .withColumns({"low": F.min("doc").over(group), "high": F.max("doc").over(group)})
+        .where("known = 1 or low < high").groupBy("doc").agg(F.collect_set("h").alias("shared")))
+    windows = rows.join(shared, "doc").mapInArrow(_window_rows, "h1 long, h2 int, doc long, known int")
+    group = Window.partitionBy("to", "known", "h1", "h2")
+    hits = (windows.withColumn("to", F.coalesce(to, "h1")).withColumn("low", F.min("doc").over(group))
+        .where("known = 1 or doc > low").groupBy("doc").agg(F.collect_set("h1").alias("hits")))
+    return rows.join(hits, "doc", "left").drop("doc")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -185,23 +216,27 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     the input. A null text has no words. A null id counts as larger than all others. Rows that repeat an id
     are never each other's earlier document; each keeps its row. An empty table gives an empty result.
     """
-    judged = _judged(id_text(docs))
-    return map_rows(judged, "in_text", _report, "doc_id long, n_words long, n_removed long, kept_sha256 string", _Hasher)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = _Hasher()
+        for part in slices(batches, "in_text"):
+            found = [_take_out(t, h, hasher) for t, h in zip(part.column("in_text").to_pylist(), part.column("hits").to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column("in_doc_id"), pa.array([len(w) + n for w, n in found], pa.int64()), pa.array([n for _, n in found], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w, _ in found])], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    return _judged(id_text(docs)).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The rows of docs with all their columns; texts that lose words become the kept words joined by spaces."""
-    judged = _judged(docs)
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher()
         for part in slices(batches, "in_text"):
             texts = []
-            for text, anchors, hits in zip(*(part.column(c).to_pylist() for c in ("in_text", "anchors", "hits")), strict=True):
-                words, gone = _take_out(text, anchors, hits, hasher)
+            for text, hits in zip(part.column("in_text").to_pylist(), part.column("hits").to_pylist()):
+                words, gone = _take_out(text, hits, hasher)
                 texts.append(b" ".join(words).decode() if gone else text)
-            own = [pa.array(texts, pa.string()) if c == "text" else part.column(f"in_{c}") for c in columns]
-            yield pa.RecordBatch.from_arrays(own, names=columns)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else part.column(f"in_{c}") for c in columns], names=columns)
 
-    return judged.mapInArrow(run, docs.schema)
+    return _judged(docs).mapInArrow(run, docs.schema)
