@@ -10,6 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tickloom.llm.common import table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm.packing import pack_documents
 
