@@ -22,6 +22,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tickloom.llm.license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tickloom.llm.bpe import round_trips
 
@@ -92,4 +98,6 @@ FROM w LEFT JOIN per USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL}
+    from tickloom.llm.license_scan import scan_sql
+
+    return {"op3_license_scan": scan_sql(), "op6_exact_dedup": OP6_SQL, "op7_substring_dedup": OP7_SQL}
