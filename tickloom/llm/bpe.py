@@ -10,6 +10,7 @@ pair merging, whose results are held for words that come again. Byte offsets of
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import unicodedata
 from dataclasses import dataclass
@@ -35,7 +36,7 @@ LETTER, NUMBER, OTHER, WHITE = range(4)
 (FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_SPACE, IN_WHITE, SUFFIX1, SUFFIX2) = range(8)
 STATES = 8
 BLOCK = 128
-WORDS_HELD = 150_000
+WORDS_HELD = 300_000
 #: Bytes over which a pre-token is merged by a heap.
 LONG = 256
 #: The cost of a pair that doesn't join.
@@ -129,14 +130,26 @@ def pre_tokens(texts: list[str]) -> list[list[str]]:
     joined = "\0".join(texts) + "\0"
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     starts = np.flatnonzero(_scan(_symbols(codes, ends - 1)))
-    firsts = np.searchsorted(starts, np.append(0, ends))
+    firsts = np.searchsorted(starts, np.append(0, ends)).tolist()
+    flat = _cut(joined, codes, starts)
     out = []
-    for i in range(len(texts)):
-        own = starts[firsts[i] : firsts[i + 1]].tolist()
-        out.append(list(map(joined.__getitem__, map(slice, own, [*own[1:], int(ends[i]) - 1]))))
+    for a, b, end in zip(firsts, firsts[1:], ends.tolist()):
+        own = flat[a:b]
+        if own:
+            own[-1] = joined[starts[b - 1] : end - 1]  # without what parts the texts
+        out.append(own)
     return out
 
 
+def _cut(joined: str, codes: np.ndarray, starts: np.ndarray) -> list[str]:
+    """The slices from each start to the next: by a mark that the text lacks, if there is one."""
+    mark = next((c for c in range(1, 9) if chr(c) not in joined), None)
+    if mark is None:
+        at = starts.tolist()
+        return list(map(joined.__getitem__, map(slice, at, [*at[1:], len(joined)])))
+    return np.insert(codes, starts, mark).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").split(chr(mark))[1:]
+
+
 @dataclass(frozen=True)
 class Encoded:
     """ids of the tokens and the byte at which each begins; offsets has one more, the end."""
@@ -157,7 +170,8 @@ class ByteBpe:
             self.bytes_of[rank] = piece
         self.sizes = np.array([len(b) for b in self.bytes_of], np.int64)
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        self.held: dict[str, list[int]] = {}
+        self.decimal = [b"%d," % i for i in range(len(self.bytes_of))]
+        self.held = _Held()
         self.pairs = _Pairs(ranks)
 
     def _merge_many(self, raws: list[bytes]) -> list[list[int]]:
@@ -214,43 +228,68 @@ class ByteBpe:
                     heapq.heappush(heap, (c, x, ids[x], ids[y]))
         return [t for t, there in zip(ids, alive) if there]
 
-    def _hold(self, words: set[str]) -> None:
-        """See that the merges of all these words are held."""
+    def encode_lists(self, texts: list[str | None]) -> list[list[int]]:
+        """The ids of each whole text; null is empty."""
         if len(self.held) >= WORDS_HELD:
             self.held.clear()
-        new, many = [w for w in words if w not in self.held], []
-        for w in new:
-            raw = w.encode("utf-8", "surrogatepass")
+        collects = gc.isenabled()
+        gc.disable()  # nothing here is circular, and the many small lists would set it going again and again
+        try:
+            rows = [list(map(self.held.__getitem__, words)) for words in pre_tokens([t or "" for t in texts])]
+            self._fill()
+            return [list(chain.from_iterable(row)) for row in rows]
+        finally:
+            if collects:
+                gc.enable()
+
+    def _fill(self) -> None:
+        """Merge the words met for the first time into the lists that already stand for them."""
+        many = []
+        for word, ids in self.held.new:
+            raw = word.encode("utf-8", "surrogatepass")
             if (whole := self.ranks.get(raw)) is not None:
-                self.held[w] = [whole]
+                ids.append(whole)
             elif len(raw) > LONG:
-                self.held[w] = self._merge_long(raw)
+                ids += self._merge_long(raw)
             else:
-                many.append((w, raw))
+                many.append((ids, raw))
+        self.held.new = []
         if many:
-            self.held.update(zip((w for w, _ in many), self._merge_many([r for _, r in many])))
+            for (ids, _), merged in zip(many, self._merge_many([r for _, r in many])):
+                ids += merged
 
     def encode(self, texts: list[str | None]) -> list[Encoded]:
-        """Encode each whole text; null is empty."""
-        out = []
-        cut = pre_tokens([t or "" for t in texts])
-        self._hold(set(chain.from_iterable(cut)))
-        for words in cut:
-            ids = np.fromiter(chain.from_iterable(map(self.held.__getitem__, words)), np.int32)
-            out.append(Encoded(ids, np.concatenate((np.zeros(1, np.int64), np.cumsum(self.sizes[ids])))))
-        return out
+        """Encode each whole text with the byte offsets of its tokens; null is empty."""
+        found = [np.array(ids, np.int32) for ids in self.encode_lists(texts)]
+        return [Encoded(ids, np.concatenate((np.zeros(1, np.int64), np.cumsum(self.sizes[ids])))) for ids in found]
+
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+    def written(self, ids: list[int]) -> bytes:
+        """The ids in decimal, joined by commas."""
+        return b"".join(map(self.decimal.__getitem__, ids))[:-1]
 
     def decode_span(self, encoded: Encoded, first: int, last: int) -> bytes:
         """Bytes first..last of the text, from the tokens that touch them alone."""
         a, b = np.searchsorted(encoded.offsets, (first, last), side="right")
         a = max(int(a) - 1, 0)
-        got, at = self.decode(encoded.ids[a:b]), int(encoded.offsets[a])
+        got, at = self.decode(encoded.ids[a:b].tolist()), int(encoded.offsets[a])
         return got[first - at : last - at]
 
 
+class _Held(dict):
+    """Word -> its ids. A word that is new gets an empty list, to be filled before it is read."""
+
+    def __init__(self):
+        self.new: list[tuple[str, list[int]]] = []
+
+    def __missing__(self, word: str) -> list[int]:
+        ids = self[word] = []
+        self.new.append((word, ids))
+        return ids
+
+
 class _Pairs:
     """Ranks of pairs of tokens that join, in a hash table with linear probing over arrays."""
 
@@ -309,7 +348,7 @@ def decode_rows(encoded: DataFrame, tokenizer: str = "byte_bpe_multi_50k.tiktoke
     def run(batches):
         for batch in batches:
             bpe = _loaded(tokenizer)
-            raw = [bpe.decode(np.asarray(x or [], np.int32)) for x in batch.column("ids").to_pylist()]
+            raw = [bpe.decode(x or []) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.binary())], names=["doc_id", "raw"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, raw binary")
@@ -320,12 +359,12 @@ def round_trips(docs: DataFrame, tokenizer: str = "byte_bpe_multi_50k.tiktoken")
 
     def of(part: pa.RecordBatch) -> dict:
         bpe = _loaded(tokenizer)
-        found = bpe.encode(part.column("text").to_pylist())
+        found = bpe.encode_lists(part.column("text").to_pylist())
         return {
             "doc_id": part.column("doc_id"),
-            "n_tokens": [len(e.ids) for e in found],
-            "ids_sha256": [hashlib.sha256(",".join(map(str, e.ids.tolist())).encode()).hexdigest() for e in found],
-            "decoded_sha256": [hashlib.sha256(bpe.decode(e.ids)).hexdigest() for e in found],
+            "n_tokens": list(map(len, found)),
+            "ids_sha256": [hashlib.sha256(bpe.written(ids)).hexdigest() for ids in found],
+            "decoded_sha256": [hashlib.sha256(bpe.decode(ids)).hexdigest() for ids in found],
         }
 
     return map_rows(id_text(docs), "text", of, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
