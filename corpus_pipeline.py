@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import exact_dedup, packing, simhash, substring, toxicity
+from tickloom.llm import exact_dedup, packing, similar, substring, toxicity
 from tickloom.llm.common import LAST_ID, shared_folder, table
 
 
@@ -29,10 +29,12 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest doc_id; five-word shingles."""
-    found = simhash.near_duplicates(docs, words=5)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("_id"))
-    return docs.withColumn("_id", F.coalesce("doc_id", F.lit(LAST_ID))).join(kept, "_id", "left_semi").drop("_id")
+    """Of each group of near copies, the document with the smallest doc_id: five-word shingles, similarity 0.8.
+
+    Documents without an id stay. Documents that share an id stay or go together.
+    """
+    gone = similar.groups(docs, words=5, similarity=0.8).where("doc_id <> group_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
