@@ -121,6 +121,17 @@ def rules() -> list[tuple[str, tuple[str, ...]]]:
     return [*RULES, *((licence, (f"spdx.{licence}",)) for licence in licences if licence != "All-Rights-Reserved")]
 
 
+def marks() -> list[str]:
+    """Words such that every known sentence has one: a text without any of them has no known sentence."""
+    left, out = set(known()), []
+    while left:
+        words = sorted({w for s in left for w in s.split() if len(w) >= 6 and w.isalpha()})
+        best = max(words, key=lambda w: (sum(w in s.split() for s in left), len(w)))
+        out.append(best)
+        left = {s for s in left if best not in s.split()}
+    return out
+
+
 def _written(names: tuple[str, ...]) -> str:
     """Identifiers as they stand in a sequence: each followed by a semicolon."""
     return "".join(f"{n};" for n in names)
@@ -144,7 +155,8 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     none. Rows that repeat are judged alike. An empty table gives an empty result.
     """
     table, sequence_of = _map(known()), _map({_written(names): licence for licence, names in reversed(rules())})
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    body = F.when(whole.rlike("(?i)" + "|".join(marks())), whole).otherwise(F.lit(""))
 
     def identifiers(ends: str) -> Column:
         clean = lambda s: F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, _OTHER, " "), "^[. ]+", ""), "[. ]+$", ""))
