@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Stands for a null doc_id where ids are compared: after every real id.
 LAST_ID = (1 << 63) - 1
 #: Characters of text that a Python step handles at once.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
