@@ -126,9 +126,9 @@ def marks() -> list[str]:
     left, out = set(known()), []
     while left:
         words = sorted({w for s in left for w in s.split() if len(w) >= 6 and w.isalpha()})
-        best = max(words, key=lambda w: (sum(w in s.split() for s in left), len(w)))
+        best = max(words, key=lambda w: (sum(w in s for s in left), len(w)))
         out.append(best)
-        left = {s for s in left if best not in s.split()}
+        left = {s for s in left if best not in s}
     return out
 
 
