@@ -1,4 +1,4 @@
 """The named queries: importing this registers them."""
 
-from tickloom.plans import market  # noqa: F401
+from tickloom.plans import market, more  # noqa: F401
 from tickloom.plans.catalog import QUERIES, SQL  # noqa: F401
