@@ -437,7 +437,7 @@ def tca_scorecards(spark, d):
 
 # ---- books ----------------------------------------------------------------------------------------
 
-BOOK_SQL = f"""WITH {TICKS}, o AS (SELECT instrument_id, 'bid' AS side, round(bid_price, 0) AS price, bid_size AS size, source AS venue FROM ticks WHERE event_type = 'QUOTE' UNION ALL SELECT instrument_id, 'ask', round(ask_price, 0) + 500, ask_size, source FROM ticks WHERE event_type = 'QUOTE'),
+BOOK_SQL = f"""WITH {TICKS}, o AS (SELECT instrument_id, 'bid' AS side, round(bid_price, 0) + 0 AS price, bid_size AS size, source AS venue FROM ticks WHERE event_type = 'QUOTE' UNION ALL SELECT instrument_id, 'ask', round(ask_price, 0) + 500, ask_size, source FROM ticks WHERE event_type = 'QUOTE'),
   v AS (SELECT instrument_id, side, price, venue, sum(size) AS size FROM o GROUP BY ALL), lv AS (SELECT instrument_id, side, price, sum(size) AS size, count(*) AS order_count FROM v GROUP BY ALL),
   book AS (SELECT *, CAST(row_number() OVER w AS INTEGER) AS level, sum(size) OVER w AS cum_size, sum(size * price) OVER w AS cum_notional FROM lv WINDOW w AS (PARTITION BY instrument_id, side ORDER BY CASE WHEN side = 'bid' THEN -price ELSE price END))
 """
@@ -446,7 +446,7 @@ BOOK_SQL = f"""WITH {TICKS}, o AS (SELECT instrument_id, 'bid' AS side, round(bi
 def _venue_levels(spark, d):
     q = _quotes(spark, d)
     side = lambda s, p, z: q.select("instrument_id", F.lit(s).alias("side"), p.alias("price"), F.col(z).alias("size"), F.col("source").alias("venue"))
-    rows = side("bid", F.round("bid_price", 0), "bid_size").unionByName(side("ask", F.round("ask_price", 0) + 500, "ask_size"))
+    rows = side("bid", F.round("bid_price", 0) + 0.0, "bid_size").unionByName(side("ask", F.round("ask_price", 0) + 500, "ask_size"))
     return rows.groupBy("instrument_id", "side", "price", "venue").agg(F.sum("size").alias("size"))
 
 
@@ -485,11 +485,11 @@ def micro_price(spark, d):
     return _quotes(spark, d).select("event_id", F.round(B.micro_price(*c), 8).alias("micro"), F.round(B.imbalance(c[2], c[3]), 6).alias("imbalance"))
 
 
-@query("queue_positions", f"""WITH {TICKS}, o AS (SELECT event_id, instrument_id, 'bid' AS side, round(bid_price / 50, 0) AS price, bid_size AS size, sequence_number AS priority FROM ticks WHERE event_type = 'QUOTE')
+@query("queue_positions", f"""WITH {TICKS}, o AS (SELECT event_id, instrument_id, 'bid' AS side, round(bid_price / 50, 0) + 0 AS price, bid_size AS size, sequence_number AS priority FROM ticks WHERE event_type = 'QUOTE')
   SELECT event_id, CAST(count(*) OVER w AS BIGINT) AS orders_ahead, coalesce(sum(size) OVER w, 0) AS size_ahead, round((1 - coalesce(sum(size) OVER w, 0) / sum(size) OVER (PARTITION BY instrument_id, side, price)) * 100, 6) AS fill_probability_pct
   FROM o WINDOW w AS (PARTITION BY instrument_id, side, price ORDER BY priority ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def queue_positions(spark, d):
-    o = _quotes(spark, d).select("event_id", "instrument_id", F.lit("bid").alias("side"), F.round(F.col("bid_price") / 50, 0).alias("price"), F.col("bid_size").alias("size"), F.col("sequence_number").alias("priority"))
+    o = _quotes(spark, d).select("event_id", "instrument_id", F.lit("bid").alias("side"), (F.round(F.col("bid_price") / 50, 0) + 0.0).alias("price"), F.col("bid_size").alias("size"), F.col("sequence_number").alias("priority"))
     return B.queue_positions(o).select("event_id", "orders_ahead", "size_ahead", R6("fill_probability_pct"))
 
 
