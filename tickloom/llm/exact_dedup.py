@@ -40,16 +40,21 @@ class DigestIndex:
     def entries(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def create(self) -> None:
+        """Make the table, empty, if it isn't there."""
+        if not self.exists():
+            self._write(self.spark.createDataFrame([], "digest binary, keep_id long, group_size long"))
+
     def unseen(self, groups: DataFrame) -> DataFrame:
         """The groups whose digest the index lacks."""
-        if not self.exists():
-            return groups
         return groups.join(self.entries().select("digest").hint("merge"), "digest", "left_anti")
 
     def append(self, groups: DataFrame) -> None:
-        """Add groups that unseen() returned. Written once per bucket: one task, one file."""
-        (groups.repartition(self.buckets, "digest").write.mode("append").format("parquet")
-            .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name))
+        """Add groups that unseen() returned; one task and one file for each bucket."""
+        self._write(groups.repartition(self.buckets, "digest"))
+
+    def _write(self, groups: DataFrame) -> None:
+        groups.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
 
     def add(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         """Decide on each row of docs, and append the texts that are new.
@@ -60,17 +65,14 @@ class DigestIndex:
         group_size; a null id stays only if its group has no other. Rows that repeat both doc_id and text
         share one decision. An empty table gives an empty result.
         """
+        self.create()
         digests = with_digest(docs, text, key)
         groups = checkpoint(groups_of(digests))
-        fresh = checkpoint(self.unseen(groups).withColumn("new", F.lit(True))) if self.exists() else groups.withColumn("new", F.lit(True))
-        if self.exists():
-            earlier = groups.join(self.entries().select("digest", F.col("keep_id").alias("earlier_id")).hint("merge"), "digest")
-            verdicts = fresh.select("digest", "keep_id", "group_size", "new").unionByName(
-                earlier.select("digest", F.col("earlier_id").alias("keep_id"), "group_size", F.lit(False).alias("new")))
-            verdicts = checkpoint(verdicts)
-        else:
-            verdicts = fresh
-        self.append(fresh.select("digest", "keep_id", "group_size"))
+        fresh = self.unseen(groups).withColumn("new", F.lit(True))
+        known = self.entries().select("digest", F.col("keep_id").alias("earlier_id")).hint("merge")
+        earlier = groups.join(known, "digest").select("digest", F.col("earlier_id").alias("keep_id"), "group_size", F.lit(False).alias("new"))
+        verdicts = checkpoint(fresh.unionByName(earlier))
+        self.append(verdicts.where("new").drop("new"))
         # both sides come straight from a shuffle, so that adaptive execution can split a hot digest
         return digests.join(verdicts.hint("merge"), "digest").select(
             "doc_id", "keep_id", "group_size",
