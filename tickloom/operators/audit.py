@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GENESIS = "GENESIS_" + "0" * 56
+GENESIS = "GENESIS_" + "0" * 64
 
 
 def _link(prev: Column) -> Column:

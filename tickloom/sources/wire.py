@@ -130,7 +130,7 @@ def decode_mold(packets: DataFrame, column: str = "payload") -> DataFrame:
 
 #: A log frame's header (magic, version, offset, time, length), and its magic.
 FRAME = ">HHQdI"
-FRAME_MAGIC = 0x4D44
+FRAME_MAGIC = 0xAA55
 
 
 def log_frame(offset: int, ts: float, payload: bytes) -> bytes:
