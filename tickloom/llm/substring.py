@@ -110,8 +110,10 @@ def _chunked(batches: Iterator[pa.RecordBatch], column: str, hashes: Callable, t
         order = np.lexsort(columns[::-1])
         columns = [c[order] for c in columns]
         once = _first_of(columns)
-        columns = [c[once] for c in columns]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in tell(columns)], names=names)
+        h, *more, doc, known = tell([c[once] for c in columns])
+        to, known_h = np.where(known == 1, _mixed(doc.view(np.uint64)).view(np.int64), h), np.where(known == 1, h, 0)
+        together = np.argsort(doc, kind="stable")  # a document's rows one after another: the shuffle packs them better
+        return pa.RecordBatch.from_arrays([pa.array(c[together]) for c in (to, known_h, *more, doc, known)], names=names)
 
     hasher = _Hasher()
     for part in slices(batches, column):
@@ -135,7 +137,10 @@ def _groups(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, doc, known): known 1 tells a document that it shares h; 0 asks, for all documents of the chunk."""
+    """(to, h, doc, known): known 1 tells a document that it shares h; 0 asks, for all documents of the chunk.
+
+    Rows go to the partition of `to`: of the document where known, else the hash, and h is 0.
+    """
 
     def hashes(hasher: _Hasher, row: dict) -> tuple | None:
         words = split_words(row["text"])
@@ -150,11 +155,11 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = size > 1
         return [np.concatenate((h[first], h[many])), np.concatenate((doc[first], doc[many])), np.repeat(np.int32([0, 1]), [len(first), int(many.sum())])]
 
-    return _chunked(batches, "text", hashes, tell, ["h", "doc", "known"])
+    return _chunked(batches, "text", hashes, tell, ["to", "h", "doc", "known"])
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h1, h2, doc, known): known 1 tells a document that a smaller one has the window; 0 asks, for the smallest of the chunk."""
+    """(to, h, h2, doc, known): known 1 tells a document that a smaller one has the window; 0 asks, for the smallest of the chunk."""
 
     def hashes(hasher: _Hasher, row: dict) -> tuple | None:
         words = split_words(row["in_text"])
@@ -171,7 +176,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asks[first] = True
         return [*columns, (~asks).astype(np.int32)]
 
-    return _chunked(batches, "in_text", hashes, tell, ["h1", "h2", "doc", "known"])
+    return _chunked(batches, "in_text", hashes, tell, ["to", "h", "h2", "doc", "known"])
 
 
 def covered(n_words: int, starts: np.ndarray) -> np.ndarray:
@@ -195,17 +200,16 @@ def _take_out(text: str | None, hits: list[int] | None, hasher: _Hasher) -> tupl
 def _judged(docs: DataFrame) -> DataFrame:
     """The rows of docs, their columns under the prefix in_, with `hits`: the hashes of windows to take out."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), *(F.col(c).alias(f"in_{c}") for c in docs.columns))
-    asked = rows.select("doc", F.col("in_text").alias("text")).mapInArrow(_anchor_rows, "h long, doc long, known int")
-    # what is known goes to its document, what is asked to its hash; a group has a row a chunk at most
-    to = F.when(F.col("known") == 1, F.xxhash64("doc"))
+    asked = rows.select("doc", F.col("in_text").alias("text")).mapInArrow(_anchor_rows, "to long, h long, doc long, known int")
+    # what is known goes to its document, what is asked to its hash; a group of asking rows has one a chunk at most
+    own_hash = F.when(F.col("known") == 1, F.col("h")).otherwise(F.col("to"))
     group = Window.partitionBy("to", "known", "h")
-    shared = (asked.withColumn("to", F.coalesce(to, "h"))
-        .withColumns({"low": F.min("doc").over(group), "high": F.max("doc").over(group)})
-        .where("known = 1 or low < high").groupBy("doc").agg(F.collect_set("h").alias("shared")))
-    windows = rows.join(shared, "doc").mapInArrow(_window_rows, "h1 long, h2 int, doc long, known int")
-    group = Window.partitionBy("to", "known", "h1", "h2")
-    hits = (windows.withColumn("to", F.coalesce(to, "h1")).withColumn("low", F.min("doc").over(group))
-        .where("known = 1 or doc > low").groupBy("doc").agg(F.collect_set("h1").alias("hits")))
+    shared = (asked.withColumns({"low": F.min("doc").over(group), "high": F.max("doc").over(group)})
+        .where("known = 1 or low < high").groupBy("doc").agg(F.collect_set(own_hash).alias("shared")))
+    windows = rows.join(shared, "doc").mapInArrow(_window_rows, "to long, h long, h2 int, doc long, known int")
+    group = Window.partitionBy("to", "known", "h", "h2")
+    hits = (windows.withColumn("low", F.min("doc").over(group))
+        .where("known = 1 or doc > low").groupBy("doc").agg(F.collect_set(own_hash).alias("hits")))
     return rows.join(hits, "doc", "left").drop("doc")
 
 
