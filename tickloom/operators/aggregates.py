@@ -8,25 +8,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.schema import INTERVALS, bucket, symbol_filter
+from tickloom.schema import INTERVALS, bucket, order_key, symbol_filter
 
 
-def _first_by(value: str, *order: str) -> Column:
-    return F.min_by(value, F.struct(*order))
+def _first_by(value: str, ts: str) -> Column:
+    return F.min_by(value, order_key(ts))
 
 
-def _last_by(value: str, *order: str) -> Column:
-    return F.max_by(value, F.struct(*order))
+def _last_by(value: str, ts: str) -> Column:
+    return F.max_by(value, order_key(ts))
 
 
 def ohlcv(ticks: DataFrame, symbol: str | None = None, interval: float = 5.0, limit: int | None = None) -> DataFrame:
-    """Open, high, low, close, volume and count of priced rows per instrument and bucket; with a limit, the newest buckets."""
+    """Open, high, low, close, volume and count of priced rows per instrument and bucket; with a limit, the newest buckets. Rows at the same time are told apart by a hash of their id."""
     rows = ticks.where(F.col("price").isNotNull() & symbol_filter(symbol)).withColumn("bucket", bucket("exchange_timestamp", interval))
     bars = rows.groupBy("instrument_id", "bucket").agg(
-        F.round(_first_by("price", "exchange_timestamp", "event_id"), 4).alias("open"),
+        F.round(_first_by("price", "exchange_timestamp"), 4).alias("open"),
         F.round(F.max("price"), 4).alias("high"),
         F.round(F.min("price"), 4).alias("low"),
-        F.round(_last_by("price", "exchange_timestamp", "event_id"), 4).alias("close"),
+        F.round(_last_by("price", "exchange_timestamp"), 4).alias("close"),
         F.round(F.sum(F.coalesce("quantity", F.lit(0.0))), 2).alias("volume"),
         F.count(F.lit(1)).alias("trade_count"),
     )
@@ -41,9 +41,9 @@ def bars(ticks: DataFrame, intervals: dict[str, float] | None = None) -> DataFra
     start = F.floor(F.col("exchange_timestamp") / F.col("step.interval_s")).cast("double") * F.col("step.interval_s")
     quantity = F.coalesce("quantity", F.lit(0.0))
     return rows.groupBy("instrument_id", F.col("step.interval").alias("interval"), start.alias("bucket_start")).agg(
-        _first_by("price", "receive_timestamp", "event_id").alias("open"),
+        _first_by("price", "receive_timestamp").alias("open"),
         F.max("price").alias("high"), F.min("price").alias("low"),
-        _last_by("price", "receive_timestamp", "event_id").alias("close"),
+        _last_by("price", "receive_timestamp").alias("close"),
         F.sum(quantity).alias("volume"), F.count(F.lit(1)).alias("trade_count"),
         F.sum(F.col("price") * quantity).alias("_notional"),
     ).withColumn("vwap", F.when(F.col("volume") > 0, F.col("_notional") / F.col("volume")).otherwise(F.col("close"))).drop("_notional")
