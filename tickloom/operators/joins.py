@@ -25,14 +25,34 @@ def bar_as_of(bars: DataFrame, ts: float, completed_only: bool = True) -> DataFr
     return bars.where(begun).groupBy("instrument_id", "interval_s").agg(F.max_by(F.struct(*bars.columns), "bucket_start").alias("r")).select("r.*")
 
 
-def as_of(left: DataFrame, right: DataFrame, values: list[str], by: str = "instrument_id", ts: str = "exchange_timestamp") -> DataFrame:
-    """Each left row with the `values` of the last right row of its key at or before it (a right row at the same time counts)."""
-    names = [f"asof_{v}" for v in values]
-    a = left.select(by, ts, F.lit(1).alias("_kind"), F.struct(*left.columns).alias("_left"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("_right"))
-    b = right.select(by, ts, F.lit(0).alias("_kind"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_left"), F.struct(*values).alias("_right"))
-    order = Window.partitionBy(by).orderBy(ts, "_kind").rowsBetween(Window.unboundedPreceding, 0)
+def as_of(left: DataFrame, right: DataFrame, values: list[str], by: str = "instrument_id", ts: str = "exchange_timestamp", chunk_s: float | None = None) -> DataFrame:
+    """Each left row with the `values` of the last right row of its key at or before it (a right row at the same time counts).
+
+    With chunk_s a key's history is dealt out by chunks of that many seconds, so that a hot key isn't one
+    task's: what a chunk inherits from those before it is found on one row a chunk.
+    """
+    keys = [by]
+    if chunk_s is not None:
+        left, right = (d.withColumn("_chunk", F.floor(F.col(ts) / F.lit(float(chunk_s)))) for d in (left, right))
+        keys = [by, "_chunk"]
+    payload = right.select(F.struct(*values)).schema[0].dataType
+    a = left.select(*keys, ts, F.lit(1).alias("_kind"), F.struct(*left.columns).alias("_left"), F.lit(None).cast(payload).alias("_right"))
+    b = right.select(*keys, ts, F.lit(0).alias("_kind"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_left"), F.struct(*values).alias("_right"))
+    order = Window.partitionBy(*keys).orderBy(ts, "_kind").rowsBetween(Window.unboundedPreceding, 0)
     met = a.unionByName(b).withColumn("_seen", F.last("_right", ignorenulls=True).over(order)).where("_kind = 1")
-    return met.select("_left.*", *(F.col(f"_seen.{v}").alias(n) for v, n in zip(values, names)))
+    if chunk_s is not None:
+        met = met.join(_inherited(left, right, values, by, ts, payload), keys, "left").withColumn("_seen", F.coalesce("_seen", "_before")).drop("_before")
+    kept = [c for c in left.columns if c != "_chunk"]
+    return met.select(*(F.col(f"_left.{c}") for c in kept), *(F.col(f"_seen.{v}").alias(f"asof_{v}") for v in values))
+
+
+def _inherited(left: DataFrame, right: DataFrame, values: list[str], by: str, ts: str, payload) -> DataFrame:
+    """Of each key and chunk of left: the last right row of earlier chunks."""
+    last = right.groupBy(by, "_chunk").agg(F.max_by(F.struct(*values), ts).alias("_last"))
+    wanted = left.select(by, "_chunk").distinct().withColumn("_last", F.lit(None).cast(payload))
+    chunks = last.unionByName(wanted).groupBy(by, "_chunk").agg(F.first("_last", ignorenulls=True).alias("_last"))
+    earlier = Window.partitionBy(by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return chunks.select(by, "_chunk", F.last("_last", ignorenulls=True).over(earlier).alias("_before"))
 
 
 def as_of_forward(left: DataFrame, right: DataFrame, value: str, delay: float, by: str = "instrument_id", ts: str = "exchange_timestamp", out: str = "later") -> DataFrame:

@@ -18,15 +18,15 @@ R6 = lambda c: F.round(c, 6).alias(c)
 
 
 def _trades(spark: SparkSession, d: str) -> DataFrame:
-    return ticks(spark, d).where("event_type = 'TRADE'")
+    return ticks(spark, d, "TRADE")
 
 
 def _quotes(spark: SparkSession, d: str) -> DataFrame:
-    return ticks(spark, d).where("event_type = 'QUOTE'")
+    return ticks(spark, d, "QUOTE")
 
 
 def _daily(spark: SparkSession, d: str) -> DataFrame:
-    return A.ohlcv(ticks(spark, d), interval=DAY)
+    return A.ohlcv(_trades(spark, d), interval=DAY)
 
 
 BARS_SQL = f"""bars AS (SELECT instrument_id, floor(exchange_timestamp / {DAY}::DOUBLE) * {DAY}::DOUBLE AS bucket,
@@ -46,32 +46,32 @@ def ohlcv_daily(spark, d):
   round(arg_max(price, row(exchange_timestamp, event_id)), 4) AS close, round(sum(coalesce(quantity, 0)), 2) AS volume, count(*) AS trade_count
   FROM ticks WHERE price IS NOT NULL AND instrument_id = 'I1' GROUP BY ALL ORDER BY bucket DESC LIMIT 100""")
 def ohlcv_5s_newest(spark, d):
-    return A.ohlcv(ticks(spark, d), "I1", 5.0, 100)
+    return A.ohlcv(_trades(spark, d), "I1", 5.0, 100)
 
 
 @query("vwap_all", f"""WITH {TICKS} SELECT round(sum(price * quantity) / sum(quantity), 4) AS vwap, round(sum(price * quantity), 2) AS notional,
   round(sum(quantity), 4) AS volume, min(price) AS min_price, max(price) AS max_price, count(*) AS trade_count FROM ticks WHERE price IS NOT NULL AND quantity > 0""")
 def vwap_all(spark, d):
-    return A.vwap(ticks(spark, d), "ALL")
+    return A.vwap(_trades(spark, d), "ALL")
 
 
 @query("vwap_by_instrument", f"WITH {TICKS} SELECT instrument_id, round(sum(price * quantity) / sum(quantity), 4) AS vwap, count(*) AS trade_count FROM ticks WHERE price IS NOT NULL AND quantity > 0 GROUP BY 1")
 def vwap_by_instrument(spark, d):
-    return A.vwap_by_instrument(ticks(spark, d))
+    return A.vwap_by_instrument(_trades(spark, d))
 
 
 @query("vwap_range", f"""WITH {TICKS} SELECT round(sum(price * quantity) / sum(quantity), 4) AS vwap, round(sum(price * quantity), 2) AS notional,
   round(sum(quantity), 4) AS volume, min(price) AS min_price, max(price) AS max_price, count(*) AS trade_count FROM ticks
   WHERE price IS NOT NULL AND quantity > 0 AND instrument_id = 'I3' AND exchange_timestamp BETWEEN 1704499200 AND 1705363200""")
 def vwap_range(spark, d):
-    return A.vwap(ticks(spark, d), "I3", 1704499200.0, 1705363200.0)
+    return A.vwap(_trades(spark, d), "I3", 1704499200.0, 1705363200.0)
 
 
 @query("spreads", f"""WITH {TICKS} SELECT instrument_id, count(*) AS quote_count, round(avg(ask_price - bid_price), 4) AS avg_spread, round(min(ask_price - bid_price), 4) AS min_spread,
   round(max(ask_price - bid_price), 4) AS max_spread, CAST(count(*) FILTER (bid_price > ask_price) AS BIGINT) AS crossed_count,
   round(count(*) FILTER (bid_price > ask_price) * 100::DOUBLE / count(*), 2) AS crossed_pct FROM ticks WHERE bid_price IS NOT NULL AND ask_price IS NOT NULL GROUP BY 1""")
 def spreads(spark, d):
-    return A.spreads(ticks(spark, d))
+    return A.spreads(_quotes(spark, d))
 
 
 @query("latency_quantiles", f"""WITH {TICKS}, l AS (SELECT (processing_timestamp - receive_timestamp) * 1e6 AS us FROM ticks WHERE processing_timestamp >= receive_timestamp)
@@ -86,13 +86,13 @@ def latency_quantiles(spark, d):
   SELECT t.instrument_id, CAST(CASE WHEN (high - low) / 10::DOUBLE > 0 THEN floor((price - low) / ((high - low) / 10::DOUBLE)) ELSE 0 END AS BIGINT) AS bin,
   round(sum(quantity), 2) AS volume, count(*) AS trade_count, round(sum(quantity) / max(total) * 100::DOUBLE, 4) AS pct FROM t JOIN b USING (instrument_id) GROUP BY 1, 2""")
 def volume_profile(spark, d):
-    return A.volume_profile(ticks(spark, d))
+    return A.volume_profile(_trades(spark, d))
 
 
 @query("volatility", f"""WITH {JUDGED} SELECT instrument_id, count(*) AS n, round(avg(price), 6) AS mean, round(stddev_pop(price), 6) AS std_dev, min(price) AS min_price, max(price) AS max_price,
   round((max(price) - min(price)) / avg(price) * 100::DOUBLE, 4) AS range_pct FROM judged WHERE price IS NOT NULL AND quality_status <> 'INVALID' GROUP BY 1""")
 def volatility(spark, d):
-    return A.volatility(rules.judge(ticks(spark, d)))
+    return A.volatility(rules.judge(_trades(spark, d)))
 
 
 @query("quality_status_counts", f"WITH {JUDGED} SELECT quality_status, count(*) AS n FROM judged GROUP BY 1")
@@ -195,6 +195,13 @@ def asof_trade_quote(spark, d):
     return joins.as_of(_trades(spark, d), _quotes(spark, d), ["bid_price", "ask_price"]).select("event_id", "price", "asof_bid_price", "asof_ask_price")
 
 
+@query("asof_trade_quote_chunked", f"""WITH {TICKS} SELECT t.event_id, t.price, q.bid_price AS asof_bid_price FROM (SELECT * FROM ticks WHERE event_type = 'TRADE') t
+  ASOF LEFT JOIN (SELECT * FROM ticks WHERE event_type = 'QUOTE') q ON t.instrument_id = q.instrument_id AND t.exchange_timestamp >= q.exchange_timestamp""")
+def asof_trade_quote_chunked(spark, d):
+    """The same join with an instrument's history dealt out by hours."""
+    return joins.as_of(_trades(spark, d), _quotes(spark, d), ["bid_price"], chunk_s=3600.0).select("event_id", "price", "asof_bid_price")
+
+
 @query("markout_1h", f"""WITH {TICKS}, t AS (SELECT * FROM ticks WHERE event_type = 'TRADE'), q AS (SELECT instrument_id, exchange_timestamp, (bid_price + ask_price) / 2 AS mid FROM ticks WHERE event_type = 'QUOTE'),
   n AS (SELECT t.event_id, q.mid FROM t ASOF LEFT JOIN q ON t.instrument_id = q.instrument_id AND t.exchange_timestamp + 3600 <= q.exchange_timestamp),
   b AS (SELECT t.event_id, q.mid FROM t ASOF LEFT JOIN q ON t.instrument_id = q.instrument_id AND t.exchange_timestamp + 3600 >= q.exchange_timestamp)

@@ -10,12 +10,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def ticks(spark: SparkSession, folder: str) -> DataFrame:
-    """`events` as ticks: clicks and purchases trade, views and signups quote, errors are status events."""
+#: Raw event types behind each kind of tick.
+KINDS = {"TRADE": ("click", "purchase"), "QUOTE": ("view", "signup"), "STATUS": ("error",)}
+
+
+def ticks(spark: SparkSession, folder: str, kind: str | None = None) -> DataFrame:
+    """`events` as ticks: clicks and purchases trade, views and signups quote, errors are status events.
+
+    With a kind, only those: the filter is on the stored column, so that it reaches the Parquet scan.
+    """
     k = F.get_json_object("props", "$.k").cast("int")
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
     trade, quote = F.col("event_type").isin("click", "purchase"), F.col("event_type").isin("view", "signup")
-    rows = table(spark, folder, "events").select(
+    events = table(spark, folder, "events")
+    events = events.where(F.col("event_type").isin(*KINDS[kind])) if kind else events
+    return events.select(
         F.concat(F.lit("e"), "event_id").alias("event_id"),
         F.concat(F.lit("I"), F.col("user_id") % 10).alias("instrument_id"),
         F.when(trade, "TRADE").when(quote, "QUOTE").otherwise("STATUS").alias("event_type"),
@@ -32,4 +41,3 @@ def ticks(spark: SparkSession, folder: str) -> DataFrame:
         F.when(quote, (k % 13 + 1).cast("double")).alias("ask_size"),
         F.col("user_id").alias("user_id"),
     )
-    return rows
