@@ -177,3 +177,52 @@ def deflated_sharpe(sharpe: float, trials: int = 10, n: int = 100, skewness: flo
         return probabilistic_sharpe(sharpe, 0.0, n, skewness, kurtosis)
     log = max(1e-4, math.log(trials))
     return probabilistic_sharpe(sharpe, math.sqrt(2 * log) * (1 - 0.5772156649 / (2 * log)), n, skewness, kurtosis)
+
+
+def sharpe_interval(sharpe: float, n: int, skewness: float = 0.0, kurtosis: float = 3.0) -> tuple[float, float]:
+    """The asymptotic 95 percent interval of a ratio."""
+    if n <= 1:
+        return 0.0, 0.0
+    term = 1 - skewness * sharpe + (kurtosis - 1) / 4 * sharpe**2
+    reach = 1.95996 * math.sqrt((term if term > 0 else 1e-6) / (n - 1))
+    return round(sharpe - reach, 4), round(sharpe + reach, 4)
+
+
+def calmar(annual_return_pct: float, max_drawdown_pct: float) -> float:
+    return annual_return_pct / max_drawdown_pct if max_drawdown_pct > 1e-6 else 0.0
+
+
+def parity_gaps(chain: DataFrame) -> DataFrame:
+    """Call less put against spot less discounted strike, where both are quoted: spot, strike, years, rate, option_type, price."""
+    keys = ["spot", "strike", "years", "rate"]
+    both = chain.groupBy(*keys).agg(F.avg(F.when(F.col("option_type") == "CALL", F.col("price"))).alias("call"), F.avg(F.when(F.col("option_type") == "PUT", F.col("price"))).alias("put")).where("call is not null and put is not null")
+    return both.withColumn("gap", F.col("call") - F.col("put") - (F.col("spot") - F.col("strike") * F.exp(-F.col("rate") * F.col("years"))))
+
+
+def surface_point(surface: DataFrame, strike: float, years: float) -> DataFrame:
+    """The volatility of the surface point (strike, years, vol) that is nearest, distances taken in parts of the point asked for."""
+    far = F.pow((F.col("strike") - strike) / strike, F.lit(2.0)) + F.pow((F.col("years") - years) / max(years, 1e-9), F.lit(2.0))
+    return surface.agg(F.min_by(F.struct("strike", "years", "vol"), F.struct(far, F.col("strike"), F.col("years"))).alias("p")).select("p.*")
+
+
+def smile(surface: DataFrame, years: float) -> DataFrame:
+    """Strikes and volatilities of one expiry, in order."""
+    return surface.where(F.abs(F.col("years") - years) < 1e-9).select("strike", "vol").orderBy("strike")
+
+
+def term_structure(surface: DataFrame, spot: float) -> DataFrame:
+    """Of each expiry the volatility at the strike nearest to the spot."""
+    return surface.groupBy("years").agg(F.min_by("vol", F.struct(F.abs(F.col("strike") - spot), F.col("strike"))).alias("vol"))
+
+
+def skew(surface: DataFrame, spot: float, away: float = 0.1) -> DataFrame:
+    """Of each expiry the volatility nearest `away` below the spot less the one nearest `away` above."""
+    at = lambda k: F.min_by("vol", F.struct(F.abs(F.col("strike") - k), F.col("strike")))
+    return surface.groupBy("years").agg((at(spot * (1 - away)) - at(spot * (1 + away))).alias("skew"))
+
+
+def signal_test(rows: DataFrame, value: str = "ret", periods: float = 252.0) -> DataFrame:
+    """Mean, t, two-sided p (normal) and information ratio of a signal's returns."""
+    one = rows.agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("_s"), F.count(value).alias("n"))
+    one = one.withColumn("t", F.when(F.col("_s") > 0, F.col("mean") / (F.col("_s") / F.sqrt("n"))).otherwise(F.lit(0.0)))
+    return one.withColumns({"p": 2 * (1 - norm_cdf(F.abs("t"))), "information_ratio": F.when(F.col("_s") > 0, F.col("mean") / F.col("_s") * math.sqrt(periods)).otherwise(F.lit(0.0))}).drop("_s")

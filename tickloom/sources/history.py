@@ -84,3 +84,53 @@ def verify_log(frames: DataFrame) -> DataFrame:
 
     before = F.lag("offset").over(Window.partitionBy("segment").orderBy("offset"))
     return frames.withColumn("fault", F.when(~F.col("valid"), "BAD_CRC").when(F.col("offset") != before + 1, "GAP"))
+
+
+def write_archive(raw: DataFrame, path: str) -> None:
+    """Raw events (source, receive_timestamp, payload, ...) as gzipped JSON lines by date and source."""
+    at = F.timestamp_micros((F.col("receive_timestamp") * 1e6).cast("long"))
+    raw.withColumn("date", F.to_date(at)).write.mode("append").partitionBy("date", "source").option("compression", "gzip").json(path)
+
+
+def replay_archive(spark: SparkSession, path: str, date: str | None = None, source: str | None = None) -> DataFrame:
+    """Archived events of a date and source, in order of receipt."""
+    rows = spark.read.json(path)
+    if date is not None:
+        rows = rows.where(F.col("date") == F.lit(date).cast("date"))
+    if source is not None:
+        rows = rows.where(F.col("source") == source)
+    return rows.orderBy("receive_timestamp", "raw_id")
+
+
+def hours(start: float, end: float) -> list[str]:
+    """Partitions YYYY-MM-DD/HH (UTC) that a time range [start, end) touches."""
+    import datetime as dt
+
+    first = int(start // 3600)
+    last = int(-(-end // 3600))
+    return [dt.datetime.fromtimestamp(h * 3600, dt.timezone.utc).strftime("%Y-%m-%d/%H") for h in range(first, last)]
+
+
+def read_hours(spark: SparkSession, root: str, start: float, end: float) -> DataFrame:
+    """Rows received in [start, end) (received_time in nanoseconds) from hourly Parquet partitions, with the file that each came from."""
+    rows = spark.read.option("ignoreMissingFiles", True).parquet(*(f"{root}/{h}" for h in hours(start, end)))
+    return rows.where((F.col("received_time") >= int(start * 1e9)) & (F.col("received_time") < int(end * 1e9))).withColumn("file", F.input_file_name())
+
+
+def strict_ns(ts, unit: str = "auto"):
+    """Nanoseconds of an epoch column in s, ms, us or ns; auto takes the one unit that falls between 2000 and 2100, and fails if there is none."""
+    scale = {"s": 10**9, "ms": 10**6, "us": 10**3, "ns": 1}
+    low, high = 946_684_800 * 10**9, 4_102_444_800 * 10**9
+    if unit != "auto":
+        return (ts.cast("decimal(38,9)") * scale[unit]).cast("long")
+    tries = [(ts.cast("decimal(38,9)") * m).cast("decimal(38,0)") for m in scale.values()]
+    fits = [F.when((t >= low) & (t < high), t.cast("long")) for t in tries]
+    return F.when(ts.isNull(), None).otherwise(F.coalesce(*fits, F.raise_error(F.concat(F.lit("no unit fits "), ts.cast("string"))).cast("long")))
+
+
+def first_seen_ids(rows: DataFrame, column: str, order: str = "exchange_timestamp") -> DataFrame:
+    """Each value of a column and its number in the order of first appearance, from 0. Values are few next to rows."""
+    from pyspark.sql import Window
+
+    first = rows.groupBy(column).agg(F.min(order).alias("_at"))
+    return first.select(column, (F.row_number().over(Window.orderBy("_at", column)) - 1).alias("id"))
