@@ -30,8 +30,8 @@ class Settings:
     be from zero. decay: weight of the squared norm. rounds: steps of the fit."""
 
     sample: int = 2500
-    min_docs: int = 5
-    min_z: float = 5.0
+    min_docs: int = 4
+    min_z: float = 4.0
     decay: float = 1e-3
     rounds: int = 200
 
