@@ -11,6 +11,7 @@ import pickle
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from operator import mul
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -96,8 +97,11 @@ class Judge:
     def _malformed(e: dict, kind: str) -> bool:
         if kind == "TRADE" and not _there(e["price"]) or kind == "QUOTE" and not _there(e["bid_price"]) and not _there(e["ask_price"]):
             return True
-        numbers = [e[c] for c in ("price", "bid_price", "ask_price", "quantity", "bid_size", "ask_size") if _there(e[c])]
-        return any(not math.isfinite(x) or x < 0 for x in numbers) or not (math.isfinite(e["exchange_timestamp"]) and math.isfinite(e["receive_timestamp"]))
+        for c in ("price", "bid_price", "ask_price", "quantity", "bid_size", "ask_size"):
+            x = e[c]
+            if x is not None and x == x and not 0 <= x < math.inf:
+                return True
+        return not (math.isfinite(e["exchange_timestamp"]) and math.isfinite(e["receive_timestamp"]))
 
     def _sequence(self, seq: int) -> bool:
         """True if the event ends here: its verdict needs no other rule."""
@@ -178,7 +182,11 @@ class Judge:
         off, spread, odd = px - mean, 0.0, False
         if n >= c.warm_up_samples:
             floor = c.sigma_floor * abs(mean)
-            spread = max(sum((x - mean) ** 2 for x in self.prices) / n, floor * floor)
+            square = sum(map(mul, self.prices, self.prices)) / n - mean * mean  # tells most rows apart already
+            if n < c.min_samples or off * off > 0.5 * c.deviations**2 * max(square, floor * floor):
+                spread = max(sum((x - mean) ** 2 for x in self.prices) / n, floor * floor)
+            else:
+                spread = max(square, floor * floor)
             odd = off * off > c.deviations**2 * spread if n >= c.min_samples else abs(mean) > 0 and abs(off) > c.warm_up_ratio * abs(mean)
         if not odd:
             self.outliers = 0
@@ -207,7 +215,8 @@ SCHEMA = "event_id string, source string, instrument_id string, quality_status s
 
 
 def _judged(judge: Judge, own: pd.DataFrame) -> pd.DataFrame:
-    found = [(e["event_id"], e["source"], e["instrument_id"], *judge.judge(e)) for e in own.to_dict("records")]
+    names = list(own.columns)
+    found = [(e["event_id"], e["source"], e["instrument_id"], *judge.judge(e)) for e in (dict(zip(names, row)) for row in zip(*(own[c].tolist() for c in names)))]
     return pd.DataFrame(found, columns=["event_id", "source", "instrument_id", "quality_status", "reasons"])
 
 
