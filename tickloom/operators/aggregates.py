@@ -34,21 +34,37 @@ def ohlcv(ticks: DataFrame, symbol: str | None = None, interval: float = 5.0, li
 
 
 def bars(ticks: DataFrame, intervals: dict[str, float] | None = None) -> DataFrame:
-    """Bars of several intervals in one pass, with VWAP (the close where nothing was traded); open and close by arrival."""
+    """Bars of several intervals, with VWAP (the close where nothing was traded); open and close by arrival.
+
+    Where every interval is a multiple of the shortest, ticks are aggregated once, to the shortest, and its
+    bars make the others: so ticks are shuffled for one interval, not for each.
+    """
     codes = intervals or INTERVALS
-    steps = F.array(*(F.struct(F.lit(c).alias("interval"), F.lit(float(s)).alias("interval_s")) for c, s in codes.items()))
-    rows = ticks.where("price is not null and quality_status <> 'INVALID'").select("*", F.explode(steps).alias("step"))
-    start = F.floor(F.col("exchange_timestamp") / F.col("step.interval_s")).cast("double") * F.col("step.interval_s")
+    base = min(codes.values())
+    if any(s % base for s in codes.values()):
+        return _union([bars(ticks, {c: s}) for c, s in codes.items()])
     quantity = F.coalesce("quantity", F.lit(0.0))
-    return rows.groupBy("instrument_id", F.col("step.interval").alias("interval"), start.alias("bucket_start")).agg(
-        _first_by("price", "receive_timestamp").alias("open"),
-        F.max("price").alias("high"), F.min("price").alias("low"),
-        _last_by("price", "receive_timestamp").alias("close"),
-        F.sum(quantity).alias("volume"), F.count(F.lit(1)).alias("trade_count"),
-        F.sum(F.col("price") * quantity).alias("_notional"),
+    rows = ticks.where("price is not null and quality_status <> 'INVALID'").select("instrument_id", bucket("exchange_timestamp", base).alias("_b"), "price", quantity.alias("q"), (F.col("price") * quantity).alias("n"), order_key("receive_timestamp").alias("k"))
+    small = rows.groupBy("instrument_id", "_b").agg(
+        F.min_by("price", "k").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "k").alias("close"),
+        F.sum("q").alias("volume"), F.count(F.lit(1)).alias("trade_count"), F.sum("n").alias("notional"), F.min("k").alias("k0"), F.max("k").alias("k1"),
+    )
+    steps = F.array(*(F.struct(F.lit(c).alias("interval"), F.lit(float(s)).alias("s")) for c, s in codes.items()))
+    each = small.select("*", F.explode(steps).alias("step"))
+    start = F.floor(F.col("_b") / F.col("step.s")).cast("double") * F.col("step.s")
+    return each.groupBy("instrument_id", F.col("step.interval").alias("interval"), start.alias("bucket_start")).agg(
+        F.min_by("open", "k0").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "k1").alias("close"),
+        F.sum("volume").alias("volume"), F.sum("trade_count").alias("trade_count"), F.sum("notional").alias("_notional"),
     ).withColumn("vwap", F.when(F.col("volume") > 0, F.col("_notional") / F.col("volume")).otherwise(F.col("close"))).drop("_notional")
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def merge_bars(old: DataFrame, new: DataFrame) -> DataFrame:
     """Upsert by merging: the older open, the newer close, extremes, sums, and the volume-weighted VWAP."""
     both = old.withColumn("_age", F.lit(0)).unionByName(new.withColumn("_age", F.lit(1)))

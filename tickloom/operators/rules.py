@@ -5,6 +5,7 @@ A rule adds its reason once and may only raise the status. Rules with state are
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -95,15 +96,21 @@ def user_rules() -> list[Rule]:
 
 
 def apply_rules(rows: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Add quality_status, reasons and reason_mask; the status is the severest of the rules that hold."""
-    holds = [(r, F.coalesce(r.when, F.lit(False))) for r in rules]
-    reasons = F.array_compact(F.array(*(F.when(c, F.lit(r.name)) for r, c in holds)))
-    worst = F.greatest(F.lit(0), F.lit(0), *(F.when(c, F.lit(SEVERITY.index(r.status))).otherwise(F.lit(0)) for r, c in holds))
+    """Add quality_status, reasons and reason_mask; the status is the severest of the rules that hold.
+
+    Conditions are computed once, in a projection of their own, and all is built of functions that compile.
+    """
+    flags = [(f"_rule{i}", r) for i, r in enumerate(rules)]
+    rows = rows.withColumns({name: F.coalesce(r.when, F.lit(False)) for name, r in flags})
     bits = {**BITS, **{rule.name: bit for bit, (rule, _) in _USER.items()}}
-    mask = F.lit(0).cast("long")
-    for r, c in holds:
-        mask = mask.bitwiseOR(F.when(c, F.lit(1 << bits[r.name]).cast("long")).otherwise(F.lit(0).cast("long")))
-    return rows.withColumns({"reasons": reasons, "quality_status": F.element_at(F.array(*map(F.lit, SEVERITY)), worst + 1), "reason_mask": mask})
+    any_of = lambda status: functools.reduce(lambda a, b: a | b, (F.col(n) for n, r in flags if r.status == status), F.lit(False))
+    names = F.concat_ws(",", *(F.when(F.col(n), F.lit(r.name)) for n, r in flags))
+    none = F.array().cast("array<string>")
+    return rows.withColumns({
+        "reasons": F.when(functools.reduce(lambda a, b: a | b, (F.col(n) for n, _ in flags), F.lit(False)), F.split(names, ",")).otherwise(none),
+        "quality_status": F.when(any_of("INVALID"), "INVALID").when(any_of("SUSPICIOUS"), "SUSPICIOUS").otherwise("VALID"),
+        "reason_mask": functools.reduce(lambda a, b: a + b, (F.when(F.col(n), F.lit(1 << bits[r.name]).cast("long")).otherwise(F.lit(0).cast("long")) for n, r in flags), F.lit(0).cast("long")),
+    }).drop(*(n for n, _ in flags))
 
 
 def judge(ticks: DataFrame, limits: Limits = Limits()) -> DataFrame:
