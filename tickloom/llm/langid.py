@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import id_text, map_rows
@@ -32,10 +32,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: training documents of each language at most (those with the least hash of the id), the only
-    bound. sequences x length words are cut from them; run: mean words before the language changes."""
+    """sample: training documents of each language at most (those with the least hash of the id); languages:
+    the most frequent ones that are learned. They bound what reaches the driver. sequences x length words are cut from them; run: mean words before the language changes."""
 
     sample: int = 200
+    languages: int = 100
     sequences: int = 3000
     length: int = 64
     run: float = 12.0
@@ -238,16 +239,14 @@ def held_out(key: str = "doc_id"):
 
 
 def train(docs: DataFrame, settings: Settings = Settings()) -> Model | None:
-    """Fit on documents of known language that are not held out, at most settings.sample of each; their texts reach the driver."""
+    """Fit on documents of known language that are not held out, at most settings.sample of each of the settings.languages most frequent; their texts reach the driver. An id that has several languages or texts counts with the first of each."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    names = sorted(r["lang"] for r in known.select("lang").distinct().collect())
-    if not names:
-        return None
-    picked = [known.where(F.col("lang") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample) for name in names]
-    sample = picked[0]
-    for more in picked[1:]:
-        sample = sample.unionByName(more)
-    rows = id_text(docs).join(F.broadcast(sample.dropDuplicates(["doc_id"])), "doc_id").collect()
+    common = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "lang").limit(settings.languages)
+    # ranks up to a bound are cut off in each task, before the shuffle, so a common language isn't one task's
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = known.join(F.broadcast(common.select("lang")), "lang").withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= settings.sample)
+    sample = picked.groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    rows = id_text(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     rows = sorted(((r["doc_id"], r["lang"], r["text"] or "") for r in rows))
     return fit([r[2] for r in rows], [r[1] for r in rows], settings)
 

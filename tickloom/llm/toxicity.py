@@ -119,13 +119,13 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     """Fit on rows of `labels` (doc_id, toxic) that are not held out; null labels are passed over.
 
     The texts of at most settings.sample rows a label reach the driver; the share of toxic rows is counted
-    over all of them.
+    over all of them. An id that has several labels counts as toxic if one says so; of several texts, the first.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample) for k in (0, 1)]
-    sample = F.broadcast(picked[0].unionByName(picked[1]).dropDuplicates(["doc_id"]))
-    rows = id_text(docs).join(sample, "doc_id").orderBy("doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    sample = F.broadcast(picked[0].unionByName(picked[1]).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    rows = id_text(docs).join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     total = sum(counts.values())
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows], counts.get(1, 0) / total if total else None, settings)
 
