@@ -168,7 +168,11 @@ def reconciled(spark, d):
     return feeds.reconcile(ticks(spark, d), {"S0": 0.9, "S1": 0.8, "S2": 0.95}, window_s=7200.0)
 
 
-@query("gap_lifecycle")
+@query("gap_lifecycle", f"""WITH {TICKS}, o AS (SELECT source, instrument_id, receive_timestamp AS r, sequence_number AS s, max(sequence_number) OVER (PARTITION BY source, instrument_id ORDER BY receive_timestamp, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM ticks),
+  e AS (SELECT source, instrument_id, max(r) AS e FROM o GROUP BY 1, 2), m AS (SELECT source, instrument_id, r AS opened_ts, unnest(generate_series(h + 1, least(s - 1, h + 1000))) AS missing_seq FROM o WHERE s > h + 1),
+  l AS (SELECT source, instrument_id, s AS missing_seq, min(r) AS came_ts FROM o WHERE s < h GROUP BY 1, 2, 3)
+  SELECT source, instrument_id, missing_seq, opened_ts, came_ts, CASE WHEN came_ts - opened_ts < 3600 THEN 'FILLED' WHEN came_ts IS NOT NULL OR e - opened_ts >= 3600 THEN 'EXPIRED' ELSE 'OPEN' END AS state
+  FROM m LEFT JOIN l USING (source, instrument_id, missing_seq) JOIN e USING (source, instrument_id)""")
 def gap_lifecycle(spark, d):
     return feeds.gap_lifecycle(ticks(spark, d), timeout_s=3600.0)
 
@@ -223,7 +227,8 @@ def audit_chain_verified(spark, d):
     return audit.verify_chain(audit.append_chain(_entries(spark, d))).groupBy("fault").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("merkle_root")
+@query("merkle_root", """WITH l AS (SELECT r_regionkey AS i, unhex(sha256('\\x00'::BLOB || encode(r_name))) AS h FROM region), a AS (SELECT i // 2 AS i, CASE WHEN count(*) = 1 THEN min_by(h, i) ELSE unhex(sha256('\\x01'::BLOB || min_by(h, i) || max_by(h, i))) END AS h FROM l GROUP BY i // 2),
+  b AS (SELECT i // 2 AS i, CASE WHEN count(*) = 1 THEN min_by(h, i) ELSE unhex(sha256('\\x01'::BLOB || min_by(h, i) || max_by(h, i))) END AS h FROM a GROUP BY i // 2), c AS (SELECT unhex(sha256('\\x01'::BLOB || min_by(h, i) || max_by(h, i))) AS h FROM b) SELECT lower(hex(h)) AS root FROM c""")
 def merkle_root(spark, d):
     return audit.merkle_levels(table(spark, d, "region").select(F.col("r_regionkey").alias("seq"), F.col("r_name").alias("data")))
 
