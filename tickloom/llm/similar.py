@@ -1,13 +1,17 @@
-"""SimHash groups of a stated similarity, beyond the few differing bits that one fingerprint allows.
+"""Near copies of a stated similarity: prefix keys and SimHash as a sieve, the Jaccard similarity as the judge.
 
-A pair whose shingle sets have the Jaccard similarity s differs in about a share arccos(2s / (1 + s)) / pi
-of its SimHash bits: at 0.8 in 15 %, ten of 64 bits, which errors over segments can't be told apart by one
-exact segment any more. So a document gets two independent fingerprints, every pair of segments of each
-gives keys of two Golay indices (24 bits), and documents that meet under any key are compared over all 128
-bits. This is a sieve with a measured recall, not an exact search (README); it is what the pipeline uses.
+Two sets of shingles with a Jaccard similarity of s or more share the smallest of their common hashes, and
+it is among the n - ceil(s n) + 1 smallest of each set of n: these are a document's keys, so every such
+pair meets. Documents that meet are compared by four independent fingerprints. At s a pair differs in about
+a share arccos(2s / (1 + s)) / pi of its 256 bits: at 0.8 in 38 +- 6. SIEVE standard deviations are allowed
+on top, which no true pair exceeds but by a chance of 1e-5 at the most (sets of four and five shingles).
+
+What passes makes loose groups. Within each, shingle sets are compared themselves, and only pairs of the
+similarity asked for become links.
 
 Keys that more than RUN documents carry are compared in blocks: a task has two blocks of about BLOCK
-documents, so no task holds a whole key, and a task returns a spanning forest, never its pairs.
+documents, so no task holds a whole key; loose groups are dealt in blocks in the same way. A task returns
+a spanning forest, never its pairs.
 """
 
 from __future__ import annotations
@@ -23,80 +27,82 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import checkpoint, id_text, map_rows
 from tickloom.llm.components import components
-from tickloom.llm.simhash import SEGMENTS, _labels, codewords
+from tickloom.llm.simhash import _labels
 
 RUN = 2048
 BLOCK = 4096
 #: Runs up to here are compared by shifting all rows of a batch at once, longer ones each for itself.
 SHORT = 24
 BITS = 128
+SIEVE_BITS = 256
 #: Standard deviations of the number of differing bits that are allowed on top of the mean.
 MARGIN = 0.7
-COLUMNS = ["key", "id", "fa", "fb"]
+#: The same for the sieve, which is followed by an exact comparison.
+SIEVE = 6.4
+#: Documents, and shingles, of a block of a loose group.
+SET_BLOCK = 512
+SET_SHINGLES = 500_000
+PRINTS = ["fa", "fb", "fc", "fd"]
+COLUMNS = ["key", "id", *PRINTS]
 
 
-def most_bits(similarity: float) -> int:
-    """Differing bits of 128 up to which two documents are taken to have this Jaccard similarity."""
+def most_bits(similarity: float, margin: float = MARGIN, bits: int = BITS) -> int:
+    """Differing bits up to which two documents are taken to have this Jaccard similarity."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(BITS * share + MARGIN * math.sqrt(BITS * share * (1 - share)))
+    return math.floor(bits * share + margin * math.sqrt(bits * share * (1 - share)))
 
 
-def two_fingerprints(text: str | None, words: int) -> tuple[int, int]:
-    """SimHashes of the distinct shingles of a text by two hashes; (0, 0) without words."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a text; a text of fewer words is one shingle; none without words."""
     import xxhash
 
     parts = (text or "").encode().lower().split()
     if not parts:
-        return 0, 0
+        return np.array([], np.uint64)
     joined = b" ".join(parts)
     if len(parts) <= words:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
-        firsts = np.concatenate(([0], ends[:-words]))
-        cuts = map(joined.__getitem__, map(slice, firsts.tolist(), (ends[words - 1 :] - 1).tolist()))
-        hashes = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, cuts, repeat(42)), np.uint64, len(firsts)))
-    other = (hashes ^ (hashes >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    other = (other ^ (other >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-    other ^= other >> np.uint64(32)
-    out = []
-    for h in (hashes, other):
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+    firsts = np.concatenate(([0], ends[:-words]))
+    cuts = map(joined.__getitem__, map(slice, firsts.tolist(), (ends[words - 1 :] - 1).tolist()))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, cuts, repeat(42)), np.uint64, len(firsts)))
+
+
+def _prints(hashes: np.ndarray, times: int = len(PRINTS)) -> list[int]:
+    out, h = [], hashes
+    for _ in range(times):
         over = np.zeros(64, np.int64)
         for at in range(0, len(h), 8192):
             over += np.unpackbits(h[at : at + 8192].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         out.append(int(np.packbits(over * 2 > len(h), bitorder="little").view("<u8")[0]))
-    return out[0], out[1]
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+        h ^= h >> np.uint64(32)
+    return out
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id, fa, fb) for every pair of Golay indices of two segments of either fingerprint."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2048):
-            part = batch.slice(at, 2048)
-            own = [part.column(c).to_numpy() for c in ("id", "fa", "fb")]
-            found = []
-            for which, fp in enumerate((own[1].view(np.uint64), own[2].view(np.uint64))):
-                near = [codewords(((fp >> np.uint64(low)) & np.uint64((1 << n) - 1)).astype(np.int32)).astype(np.int64) for low, n in SEGMENTS]
-                for kind, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-                    value = (near[i][:, :, None] << 12 | near[j][:, None, :]).reshape(len(fp), -1)
-                    lacking = ((near[i] < 0)[:, :, None] | (near[j] < 0)[:, None, :]).reshape(len(fp), -1)
-                    found.append(np.where(lacking, -1, value | (3 * which + kind) << 24))
-            cells = np.concatenate(found, axis=1)
-            has = cells >= 0
-            times = has.sum(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(cells[has]), *(pa.array(np.repeat(c, times)) for c in own)], names=COLUMNS)
+def two_fingerprints(text: str | None, words: int) -> tuple[int, int]:
+    """SimHashes of the distinct shingles of a text by two hashes; (0, 0) without words."""
+    first, second = _prints(shingle_hashes(text, words), 2)
+    return first, second
 
 
-def _near(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    return np.bitwise_count(a[0] ^ b[0]).astype(np.int16) + np.bitwise_count(a[1] ^ b[1])
+def prefix(size: int, similarity: float) -> int:
+    """How many of a set's smallest hashes are keys."""
+    return size - math.ceil(similarity * size - 1e-9) + 1 if size else 0
 
 
-def _dense(fa: np.ndarray, fb: np.ndarray, first: int, last: int, other: int, end: int, most: int) -> tuple[list, list]:
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints, which stand along the first axis."""
+    return sum(np.bitwise_count(x ^ y).astype(np.int16) for x, y in zip(a, b))
+
+
+def _dense(fp: np.ndarray, first: int, last: int, other: int, end: int, most: int) -> tuple[list, list]:
     """Pairs (i, j), i < j, within `most` bits, i in first..last and j in other..end."""
     left, right = [], []
     for a in range(first, last, 256):
         rows = slice(a, min(a + 256, last))
-        i, j = np.nonzero(_near((fa[rows, None], fb[rows, None]), (fa[None, other:end], fb[None, other:end])) <= most)
+        i, j = np.nonzero(_near(fp[:, rows, None], fp[:, None, other:end]) <= most)
         i, j = i + a, j + other
         left.append(i[i < j])
         right.append(j[i < j])
@@ -115,23 +121,23 @@ def _forest(ids: np.ndarray, left: list, right: list) -> pa.RecordBatch:
 def _compare(most: int):
     """Sorted cells -> (a, b, hot): a forest of links; and (key, key, 1) for keys with over RUN rows."""
 
-    def settle(key, ids, fa, fb) -> pa.RecordBatch:
+    def settle(key, ids, *prints) -> pa.RecordBatch:
         starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
         sizes = np.diff(np.append(starts, len(key)))
-        fa, fb, left, right = fa.view(np.uint64), fb.view(np.uint64), [], []
+        fp, left, right = np.stack(prints).view(np.uint64), [], []
         short = np.repeat(sizes <= SHORT, sizes)
         for step in range(1, min(SHORT, int(sizes.max()))):
             meets = np.flatnonzero((key[step:] == key[:-step]) & short[step:])
-            near = meets[_near((fa[meets], fb[meets]), (fa[meets + step], fb[meets + step])) <= most]
+            near = meets[_near(fp[:, meets], fp[:, meets + step]) <= most]
             left.append(near)
             right.append(near + step)
         for s, n in zip(starts[sizes > SHORT].tolist(), sizes[sizes > SHORT].tolist()):
-            for x, y in zip((left, right), _dense(fa, fb, s, s + n, s, s + n, most)):
+            for x, y in zip((left, right), _dense(fp, s, s + n, s, s + n, most)):
                 x += y
         return _forest(ids, left, right)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.array([], np.int64)] * 4
+        held = [np.array([], np.int64)] * len(COLUMNS)
         over = None
         for batch in batches:
             new = [batch.column(c).to_numpy() for c in COLUMNS]
@@ -150,7 +156,7 @@ def _compare(most: int):
                 yield pa.RecordBatch.from_arrays([pa.array([over]), pa.array([over]), pa.array([1], pa.int32())], names=["a", "b", "hot"])
                 if last:
                     yield settle(*(c[:last] for c in held))
-                held = [np.array([], np.int64)] * 4
+                held = [np.array([], np.int64)] * len(COLUMNS)
             elif last:
                 yield settle(*(c[:last] for c in held))
                 held = [c[last:] for c in held]
@@ -163,14 +169,14 @@ def _compare(most: int):
 def _block_pairs(most: int):
     """Rows sorted by (key, i, j), each with its own block: links between block i and block j."""
 
-    def settle(own, ids, fa, fb) -> pa.RecordBatch:
+    def settle(own, ids, *prints) -> pa.RecordBatch:
         order = np.argsort(ids, kind="stable")
-        ids, fa, fb = ids[order], fa[order].view(np.uint64), fb[order].view(np.uint64)
-        return _forest(ids, *_dense(fa, fb, 0, len(ids), 0, len(ids), most))
+        ids, fp = ids[order], np.stack(prints)[:, order].view(np.uint64)
+        return _forest(ids, *_dense(fp, 0, len(ids), 0, len(ids), most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["task", "id", "fa", "fb"]
-        held = [np.array([], np.int64)] * 4
+        names = ["task", "id", *PRINTS]
+        held = [np.array([], np.int64)] * len(COLUMNS)
         for batch in batches:
             held = [np.concatenate((h, batch.column(c).to_numpy())) for h, c in zip(held, names)]
             while len(held[0]) and held[0][0] != held[0][-1]:
@@ -183,31 +189,99 @@ def _block_pairs(most: int):
     return run
 
 
+def _spanning(sets: list[np.ndarray], similarity: float) -> tuple[list, list]:
+    """Links (i, j) that join all sets which pairs of this Jaccard similarity join; each set is compared with all that aren't reached yet."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
+    ends = np.cumsum(sizes)
+    mine = np.zeros(int(flat.max()) + 1, bool)
+    rest, shingles, left, right, queue = np.arange(len(sets)), flat, [], [], []
+    while len(rest):
+        now = queue.pop() if queue else int(rest[0])
+        own = flat[ends[now] - sizes[now] : ends[now]]
+        mine[own] = True
+        size = sizes[rest]
+        common = np.add.reduceat(mine[shingles], np.cumsum(size) - size, dtype=np.int64)
+        mine[own] = False
+        near = common >= similarity * (size + sizes[now] - common) - 1e-9
+        found = rest[near]
+        left += [now] * len(found)
+        right += found.tolist()
+        queue += found[found != now].tolist()
+        shingles, rest = shingles[np.repeat(~near, size)], rest[~near]
+    return left, right
+
+
+def _verify(similarity: float):
+    """Rows (task, id, hashes) sorted by task -> (a, b, hot): a forest of the links that hold."""
+
+    def settle(ids: list[int], sets: list[bytes]) -> pa.RecordBatch:
+        left, right = _spanning([np.frombuffer(x, np.uint64) for x in sets], similarity)
+        own, order = np.unique(np.array(ids, np.int64), return_inverse=True)
+        return _forest(own, [order[left]], [order[right]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, ids, sets = None, [], []
+        for batch in batches:
+            for t, i, h in zip(*(batch.column(c).to_pylist() for c in ("task", "id", "hashes"))):
+                if t != task:
+                    if len(ids) > 1:
+                        yield settle(ids, sets)
+                    task, ids, sets = t, [], []
+                ids.append(i)
+                sets.append(h)
+        if len(ids) > 1:
+            yield settle(ids, sets)
+
+    return run
+
+
 def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id and group_id (the smallest doc_id of the group) of every row with an id.
 
-    Documents whose 128 SimHash bits over shingles of `words` words differ as little as those of texts of
-    this similarity do are linked; links make groups. Texts without words are one group. Rows without an id
+    Documents whose sets of shingles of `words` words have this Jaccard similarity or more are linked; links
+    make groups. Texts without words are one group. Rows without an id
     are left out; rows that repeat an id share its row of the smallest group. An empty table gives an empty
     result.
     """
-    most = most_bits(similarity)
+    most = most_bits(similarity, SIEVE, SIEVE_BITS)
 
     def of(part: pa.RecordBatch) -> dict:
-        found = np.array([two_fingerprints(t, words) for t in part.column("text").to_pylist()], np.uint64).reshape(-1, 2)
-        return {"doc_id": part.column("doc_id"), "fa": found[:, 0].copy().view(np.int64), "fb": found[:, 1].copy().view(np.int64)}
+        import xxhash
 
-    prints = checkpoint(map_rows(id_text(docs).where("doc_id is not null"), "text", of, "doc_id long, fa long, fb long"))
-    nodes = checkpoint(prints.groupBy("fa", "fb").agg(F.min("doc_id").alias("id")))
+        sets = [shingle_hashes(t, words) for t in part.column("text").to_pylist()]
+        found = np.array([(*_prints(h), *divmod(xxhash.xxh3_128_intdigest(h.tobytes()), 1 << 64)) for h in sets], np.uint64).reshape(-1, len(PRINTS) + 2)
+        out = {c: found[:, k].copy().view(np.int64) for k, c in enumerate((*PRINTS, "da", "db"))}
+        return {"doc_id": part.column("doc_id"), **out, "size": [len(h) for h in sets], "keys": [h[: prefix(len(h), similarity)].view(np.int64) for h in sets]}
+
+    known = id_text(docs).where("doc_id is not null")
+    prints = checkpoint(map_rows(known, "text", of, "doc_id long, fa long, fb long, fc long, fd long, da long, db long, size int, keys array<long>"))
+    # rows of equal digests are equal in all but the id
+    nodes = checkpoint(prints.groupBy("da", "db").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in (*PRINTS, "size", "keys"))))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = nodes.select("id", "fa", "fb").mapInArrow(_cells, "key long, id long, fa long, fb long")
+    cells = nodes.select(F.explode("keys").alias("key"), "id", *PRINTS)
     met = checkpoint(cells.repartition(parts, "key").sortWithinPartitions("key", "id").mapInArrow(_compare(most), "a long, b long, hot int").distinct())
     edges = met.where("hot = 0").select("a", "b")
     if met.where("hot = 1").limit(1).count():
         edges = edges.unionByName(_hot_links(cells, met.where("hot = 1").select(F.col("a").alias("key")), most, parts))
-    roots = components(edges)
-    named = nodes.join(roots, nodes.id == roots.node, "left").select("fa", "fb", F.coalesce("root", "id").alias("group_id"))
-    return prints.join(named.hint("merge"), ["fa", "fb"]).groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
+    roots = components(_true_links(known, nodes, components(edges), words, similarity, parts))
+    named = nodes.join(roots, nodes.id == roots.node, "left").select("da", "db", F.coalesce("root", "id").alias("group_id"))
+    return prints.select("doc_id", "da", "db").join(named.hint("merge"), ["da", "db"]).groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
+
+
+def _true_links(known: DataFrame, nodes: DataFrame, loose: DataFrame, words: int, similarity: float, parts: int) -> DataFrame:
+    """Links within loose groups (node, root) whose shingle sets have the similarity, by pairs of blocks."""
+    members = checkpoint(nodes.select(F.col("id").alias("node"), "size").join(loose, "node"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / SET_BLOCK, F.sum("size") / SET_SHINGLES)).cast("int")
+    placed = members.join(members.groupBy("root").agg(blocks.alias("blocks")), "root").select("node", "root", "blocks").distinct()
+
+    def of(part: pa.RecordBatch) -> dict:
+        return {c: part.column(c) for c in ("id", "root", "blocks")} | {"hashes": [shingle_hashes(t, words).tobytes() for t in part.column("text").to_pylist()]}
+
+    own = map_rows(known.join(placed, known.doc_id == placed.node).select(F.col("node").alias("id"), "root", "blocks", "text"), "text", of, "id long, root long, blocks int, hashes binary").where("length(hashes) > 0")
+    dealt = own.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 or block <> other")
+    dealt = dealt.select(F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("task"), "id", "hashes")
+    return checkpoint(dealt.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_verify(similarity), "a long, b long, hot int").select("a", "b").distinct())
 
 
 def _hot_links(cells: DataFrame, hot: DataFrame, most: int, parts: int) -> DataFrame:
@@ -216,5 +290,5 @@ def _hot_links(cells: DataFrame, hot: DataFrame, most: int, parts: int) -> DataF
     sizes = own.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = own.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("task"), "id", "fa", "fb")
+    dealt = dealt.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("task"), "id", *PRINTS)
     return dealt.repartition(parts, "task").sortWithinPartitions("task").mapInArrow(_block_pairs(most), "a long, b long, hot int").select("a", "b").distinct()
