@@ -32,12 +32,14 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: training documents of each language at most (those with the least hash of the id); languages:
-    the most frequent ones that are learned. They bound what reaches the driver. sequences x length words are cut from them; run: mean words before the language changes."""
+    """sample: training documents of each language at most (those with the least hash of the id); total: of all
+    languages, so that each has fewer where they are many, but one at least. They bound what reaches the driver. sequences, or `each` for every
+    language if that is more, x length words are cut from them; run: mean words before the language changes."""
 
     sample: int = 200
-    languages: int = 100
+    total: int = 20_000
     sequences: int = 3000
+    each: int = 750
     length: int = 64
     run: float = 12.0
     epochs: int = 6
@@ -176,7 +178,8 @@ def _switched(texts: list[list[str]], labels: np.ndarray, n_languages: int, sett
     by = [[i for i in range(len(texts)) if labels[i] == k and texts[i]] for k in range(n_languages)]
     usable = [k for k in range(n_languages) if by[k]]
     words, tags = [], []
-    for _ in range(settings.sequences):
+    sequences = max(settings.sequences, settings.each * len(usable))
+    for _ in range(sequences):
         own: list[str] = []
         mark: list[int] = []
         k = usable[random.integers(len(usable))]
@@ -190,7 +193,7 @@ def _switched(texts: list[list[str]], labels: np.ndarray, n_languages: int, sett
             k = usable[random.integers(len(usable))]
         words += own
         tags += mark
-    return words, np.array(tags).reshape(settings.sequences, -1)
+    return words, np.array(tags).reshape(sequences, -1)
 
 
 def fit(texts: list[str | None], languages: list[str], settings: Settings = Settings()) -> Model | None:
@@ -239,12 +242,12 @@ def held_out(key: str = "doc_id"):
 
 
 def train(docs: DataFrame, settings: Settings = Settings()) -> Model | None:
-    """Fit on documents of known language that are not held out, at most settings.sample of each of the settings.languages most frequent; their texts reach the driver. An id that has several languages or texts counts with the first of each."""
+    """Fit on documents of known language that are not held out, at most settings.sample of each language and about settings.total of all; their texts reach the driver. An id that has several languages or texts counts with the first of each."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    common = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "lang").limit(settings.languages)
+    bound = max(1, min(settings.sample, settings.total // max(1, known.select("lang").distinct().count())))
     # ranks up to a bound are cut off in each task, before the shuffle, so a common language isn't one task's
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.join(F.broadcast(common.select("lang")), "lang").withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= settings.sample)
+    picked = known.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= bound)
     sample = picked.groupBy("doc_id").agg(F.min("lang").alias("lang"))
     rows = id_text(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     rows = sorted(((r["doc_id"], r["lang"], r["text"] or "") for r in rows))
