@@ -101,6 +101,7 @@ RULES = (
 #: A sentence ends at a full stop, exclamation or question mark before white space, and at a blank line; where lines are cut, at every line's end.
 ENDS = r"[.!?][ \t\r\n\f\v]+|\r?\n[ \t]*\r?\n[ \t\r\n]*"
 ENDS_LINES = r"[.!?][ \t\r\n\f\v]+|[\r\n]+"
+LINES = r"[\r\n]+"
 _OTHER = "[^A-Za-z0-9.+]+"
 
 
@@ -142,6 +143,12 @@ def rule_pattern() -> str:
     return "|".join(re.escape(_written(names)).replace("\\-", "-") for _, names in rules())
 
 
+def run_pattern() -> str:
+    """Known sentences, the longest first, that fill whole lines; lines stand between bars."""
+    written = (r"(?: |\|+)".join(map(re.escape, s.split())) for s in sorted(known(), key=lambda s: (-len(s), s)))
+    return rf"(?<=\|)({'|'.join(written)})(?=\|)"
+
+
 def _map(pairs: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair))
 
@@ -150,20 +157,21 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_sentences, sentence_ids, licenses, n_licenses of every row.
 
     sentence_ids are the identifiers found, in order, each followed by a semicolon; licenses are those of
-    the rules that match, in order, joined by commas. Sentences are cut at their ends alone, and with lines
-    as well; the cut that knows more sentences counts (lines, if neither does). A null or empty text has
-    none. Rows that repeat are judged alike. An empty table gives an empty result.
+    the rules that match, in order, joined by commas. Sentences are cut at their ends alone; in one that is
+    not known as a whole, runs of whole lines are sought that are, from left to right and the longest first,
+    so that a notice in one line and a wrapped one are both found. A null or empty text has none. Rows that repeat are judged alike. An empty table gives an empty result.
     """
     table, sequence_of = _map(known()), _map({_written(names): licence for licence, names in reversed(rules())})
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     body = F.when(whole.rlike("(?i)" + "|".join(marks())), whole).otherwise(F.lit(""))
 
-    def identifiers(ends: str) -> Column:
+    def identifiers() -> Column:
         clean = lambda s: F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, _OTHER, " "), "^[. ]+", ""), "[. ]+$", ""))
-        return F.filter(F.transform(F.split(body, ends), lambda s: F.element_at(table, clean(s))), lambda x: x.isNotNull())
+        marked = lambda s: F.concat(F.lit("|"), F.array_join(F.transform(F.split(s, LINES), clean), "|"), F.lit("|"))
+        runs = lambda s: F.transform(F.regexp_extract_all(marked(s), F.lit(run_pattern()), F.lit(1)), lambda m: F.element_at(table, F.regexp_replace(m, r"\|+", " ")))
+        return F.flatten(F.transform(F.split(body, ENDS), lambda s: F.when(F.element_at(table, clean(s)).isNotNull(), F.array(F.element_at(table, clean(s)))).otherwise(runs(s))))
 
-    found = docs.select(F.col(key).cast("long").alias("doc_id"), identifiers(ENDS).alias("_whole"), identifiers(ENDS_LINES).alias("_lines"))
-    found = found.select("doc_id", F.when(F.size("_whole") > F.size("_lines"), F.col("_whole")).otherwise(F.col("_lines")).alias("_ids"))
+    found = docs.select(F.col(key).cast("long").alias("doc_id"), identifiers().alias("_ids"))
     found = found.select("doc_id", F.size("_ids").cast("long").alias("n_sentences"), F.array_join(F.transform("_ids", lambda x: F.concat(x, F.lit(";"))), "").alias("sentence_ids"))
     matches = F.transform(F.regexp_extract_all("sentence_ids", F.lit(f"({rule_pattern()})"), F.lit(1)), lambda m: F.element_at(sequence_of, m))
     found = found.withColumn("_licenses", matches)
