@@ -33,7 +33,8 @@ def test_exact(spark, odd, empty, documents):
         index = exact_dedup.DigestIndex(spark, f"d_{uuid.uuid4().hex}", 4)
         wanted = exact_by_hand([(r["doc_id"], r["text"]) for r in frame.collect()])
         assert collected(index.add(frame), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == wanted
-        assert collected(exact_dedup.exact_duplicates(frame), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == wanted
+        index.drop()
+        assert not index.runs()
 
 
 def test_index_grows_and_anti_joins(spark):
@@ -44,8 +45,40 @@ def test_index_grows_and_anti_joins(spark):
     found = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in index.add(two).collect()}
     assert found == {5: (1, False), 6: (7, False), 7: (7, True)}
     assert index.entries().count() == 3
-    plan = index.unseen(exact_dedup.groups_of(exact_dedup.with_digest(two)))._jdf.queryExecution().toString()
-    assert "SortMergeJoin" in plan and "LeftAnti" in plan and "Bucketed: true" in plan
+    with exact_dedup._sorted_scans(spark):
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            plan = index.unseen(exact_dedup.groups_of(exact_dedup.with_digest(two)))._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+    joins = len(index.runs())
+    assert plan.count("SortMergeJoin") == joins > 2 and plan.count("LeftAnti") == joins and plan.count("Bucketed: true") == joins
+    # the new digests alone are sorted, once, and dealt by the buckets; no run is
+    assert plan.count(" Sort [") == 1 and plan.count("Exchange") == 1
+
+
+def test_index_merges_its_runs(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MOST_RUNS", 3)
+    index = exact_dedup.DigestIndex(spark, f"d_{uuid.uuid4().hex}", 4)
+    for k in range(4):
+        index.add(spark.createDataFrame([(10 * k + i, f"t{(k + i) % 7}") for i in range(4)], "doc_id long, text string"))
+        assert len(index.runs()) <= 4
+    assert sorted(r["keep_id"] for r in index.entries().collect()) == [0, 1, 2, 3, 13, 23, 33]
+    index.drop()
+
+
+def test_rows_without_copies_keep_their_columns(spark):
+    """Columns of any name stay; of rows that repeat id and text one stays, the same in any order; null ids stay alone."""
+    columns = "doc_id long, text string, own_id long, no_id string, row int, nth int, digest string"
+    rows = [(1, "a", 7, "x", 1, 1, "d"), (2, "a", 8, None, 2, 2, "e"), (2, "a", 9, "z", 3, 3, None), (None, "b", 1, "y", 4, 4, "g"), (None, None, 1, "y", 5, 5, "g"), (3, "", 1, "y", 6, 6, "g")]
+    out = []
+    for order in (rows, rows[::-1]):
+        index = exact_dedup.DigestIndex(spark, f"d_{uuid.uuid4().hex}", 4)
+        kept = exact_dedup.without_copies(spark.createDataFrame(order, columns), index)
+        index.drop()
+        assert kept.columns == ["doc_id", "text", "own_id", "no_id", "row", "nth", "digest"]
+        out.append(sorted(map(tuple, kept.collect()), key=repr))
+    assert out[0] == out[1] and [(r[0], r[1]) for r in out[0]] == [(2, "a"), (3, ""), (None, "b")]
 
 
 # ---- components -----------------------------------------------------------------------------------

@@ -4,30 +4,37 @@ from collections import defaultdict
 import corpus_pipeline as pipeline
 import pytest
 
-from tickloom.llm import similar, toxicity
+from tickloom.llm import packing, toxicity
+from tickloom.llm.common import tokenizer_path
 
 SMALL = "/root/testdata/sf0.001"
 
 
-def test_stages_against_plain_python(spark, documents, labels):
-    """run() against the same decisions taken one after another without Spark, on its own classifier and sketches."""
+def brute_shingles(text):
+    parts = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    parts = re.findall(r"[^\x20\x09-\x0D]+", parts)
+    return {tuple(parts[i : i + 5]) for i in range(max(1, len(parts) - 4))} if parts else {()}
+
+
+def test_stages_against_plain_python(spark, documents, labels, tmp_path, monkeypatch):
+    """run() against the same decisions taken one after another without Spark, on its own classifier and on all pairs' Jaccard similarity."""
     model, grams = toxicity.train(documents, labels), toxicity.Grams()
     rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
     rows = [(i, t) for i, t in rows if model.score(grams(t)) < 0.5]
     last = {t: max(i for i, x in rows if x == t) for t in {t for _, t in rows}}
     rows = [(i, t) for i, t in rows if last[t] == i]
-    prints = {i: similar.two_fingerprints(t, 5) for i, t in rows}
-    root = {i: i for i in prints}
+    sets = {i: brute_shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    most, own = similar.most_bits(0.8), sorted(prints)
+    own = sorted(sets)
     for k, a in enumerate(own):
         for b in own[k + 1 :]:
-            if sum((x ^ y).bit_count() for x, y in zip(prints[a], prints[b])) <= most:
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     near = {i for i in own if find(i) != i}
@@ -39,13 +46,19 @@ def test_stages_against_plain_python(spark, documents, labels):
     kept = {}
     for i, w in cut.items():
         gone = {k for s in range(len(w) - 49) if first[tuple(w[s : s + 50])] < i for k in range(s, s + 50)}
-        kept[i] = len(w) - len(gone)
-    found = defaultdict(int)
-    for r in pipeline.run(spark, SMALL).collect():
+        kept[i] = [x for k, x in enumerate(w) if k not in gone]
+    folder = {}
+    monkeypatch.setattr(pipeline, "shared_folder", lambda spark: folder.setdefault("at", str(tmp_path)))
+    found, room = defaultdict(int), defaultdict(int)
+    packed = pipeline.run(spark, SMALL).collect()
+    for r in packed:
         found[r["doc_id"]] += r["length"]
-    missing = set(kept) ^ set(found)
-    assert len(missing) <= 1  # the sieve of keys may miss a pair that is far apart
-    assert len(found) < documents.count()
+        room[r["sequence_id"]] += r["length"]
+    assert set(found) == set(kept) and len(found) < documents.count()
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{tmp_path}/pipeline-*/substring_dedup").collect()}
+    assert {i: re.findall(r"[^\x20\x09-\x0D]+", t) for i, t in texts.items()} == kept
+    ids = packing.TokenIds(tokenizer_path("byte_bpe_50k.json"))
+    assert dict(found) == {i: 1 + len(ids(t)) for i, t in texts.items()} and max(room.values()) <= 1024
 
 
 def test_every_stage_keeps_the_columns(spark, odd):

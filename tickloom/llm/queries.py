@@ -41,11 +41,13 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole table added to a new index, which stays in the warehouse under a name of its own."""
+    """The whole table added to an index of this call's own, which is dropped when all is decided."""
     from tickloom.llm.exact_dedup import DigestIndex
 
     index = DigestIndex(spark, f"text_digests_{uuid.uuid4().hex[:12]}")
-    return index.add(table(spark, sf_dir, "documents"))
+    found = index.add(table(spark, sf_dir, "documents"))
+    index.drop()
+    return found
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,6 +107,15 @@ def _code() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return table(0, 12), table(12, 11), patterns
 
 
+@cache
+def codebook() -> np.ndarray:
+    """The 4096 codewords, by index."""
+    low, high, _ = _code()
+    index = np.arange(1 << 12, dtype=np.int32) << 11
+    syndrome = low[index & 0xFFF] ^ high[index >> 12]  # of the index alone: what the low 11 bits must mend
+    return index | syndrome
+
+
 def codewords(segment: np.ndarray) -> np.ndarray:
     """Indices (12 bits) of the codewords near each 23-bit value: six columns, -1 where there are fewer."""
     low, high, patterns = _code()
