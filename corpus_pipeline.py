@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import exact_dedup, packing, similar, substring, toxicity
-from tickloom.llm.common import LAST_ID, shared_folder, table
+from tickloom.llm.common import shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,10 +22,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest doc_id. Of rows that repeat id and text, one."""
-    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(LAST_ID)), "_digest": F.sha2(body, 256)})
-    kept = exact_dedup.exact_duplicates(docs).where("kept").select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("_id"), F.col("text_sha256").alias("_digest"))
-    return keyed.join(kept, ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"]).drop("_id", "_digest")
+    index = exact_dedup.DigestIndex(spark, f"pipeline_digests_{uuid.uuid4().hex[:12]}")
+    kept = exact_dedup.without_copies(docs, index)
+    index.drop()
+    return kept
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
