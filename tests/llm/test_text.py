@@ -75,6 +75,16 @@ def test_best_fit_under_every_capacity(capacity, choose):
         assert bins <= pack_by_hand(lengths, capacity) + 1
 
 
+def test_every_dimension_decides():
+    """By tokens alone, by documents alone and by attention alone the same pieces go to different bins; all three fit the bins of tokens alone."""
+    r = random.Random(4)
+    lengths = [r.choice((3, 5, 40, 41, 200, 333, 700)) for _ in range(400)]
+    histogram = {n: lengths.count(n) for n in set(lengths)}
+    placed = {w: packing.best_fit(histogram, weights=w) for w in ((1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0), packing.WEIGHTS)}
+    assert all(packing.WEIGHTS) and len({p.tobytes() for p, _ in placed.values()}) >= 3
+    assert placed[packing.WEIGHTS][1] <= placed[1.0, 0.0, 0.0][1]
+
+
 # ---- BPE ------------------------------------------------------------------------------------------
 
 
@@ -102,6 +112,15 @@ def test_bpe_equals_the_library(tokenizers, documents):
             assert own.decode_span(found, 1, len(raw) - 1) == raw[1:-1]
 
 
+@pytest.mark.parametrize("around", [" {}a", "a{}1", "!{}'s", "\n{}\n {}"])
+def test_bpe_equals_the_library_on_every_code_point(tokenizers, around):
+    own, library = tokenizers
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(around.replace("{}", c) for c in every[a : a + 50_000]) for a in range(0, len(every), 50_000)]
+    for text in texts:
+        assert own.encode_lists([text])[0] == library.encode_ordinary(text)
+
+
 def test_bpe_without_a_free_mark(tokenizers):
     own, library = tokenizers
     text = "".join(map(chr, range(1, 9))) + " some words, it's"

@@ -12,7 +12,6 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
-import unicodedata
 from dataclasses import dataclass
 from functools import cache
 from itertools import chain
@@ -23,8 +22,6 @@ from pyspark.sql import DataFrame
 
 from tickloom.llm.common import id_text, map_rows, tokenizer_path
 
-#: The codepoints that Unicode calls white space.
-WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: What may follow an apostrophe that begins a pre-token.
 SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
 LETTER, NUMBER, OTHER, WHITE = range(4)
@@ -45,10 +42,19 @@ NEVER = 1 << 30
 
 @cache
 def _classes() -> np.ndarray:
-    """The class of every codepoint."""
-    kinds = {"L": LETTER, "N": NUMBER}
-    out = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
-    out[list(WHITE_SPACE)] = WHITE
+    """The class of every codepoint, by the tables of the library whose encoding is to be equalled.
+
+    Python's unicodedata is of another Unicode version. An encoding of single bytes that matches one class
+    alone gives back the codepoints of that class. Surrogates, which no UTF-8 text has, are OTHER.
+    """
+    import tiktoken
+
+    every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
+    out = np.full(0x110000, OTHER, np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (WHITE, r"\s+")):
+        read = tiktoken.Encoding(pattern, pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        found = read.decode(read.encode_ordinary(every))
+        out[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = kind
     return out
 
 

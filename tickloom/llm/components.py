@@ -13,7 +13,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each round costs two aggregations and two joins of the edges, which only shrink; they end as stars,
     after a number of rounds that grows with the logarithm of the longest path. Loops and repeated edges
-    do no harm. A star's hub is joined on a shuffle that adaptive execution may split.
+    do no harm. The smallest neighbours are written before they are joined, so both sides of a join come
+    straight from a shuffle and adaptive execution can split a star's hub.
     """
     stars = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _state(stars)
@@ -39,12 +40,12 @@ def _state(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every neighbour that is larger than u to the smallest of u and its neighbours."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link u and its smaller neighbours to the smallest of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = checkpoint(edges.groupBy("a").agg(F.min("b").alias("m")))
     moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()

@@ -22,13 +22,17 @@ from tickloom.llm.common import checkpoint, id_text, map_rows, tokenizer_path
 
 @dataclass(frozen=True)
 class Capacity:
-    """What a bin holds at most. The defaults for documents and attention bind nothing that tokens allow."""
+    """What a bin holds at most. The defaults for documents and attention allow whatever tokens allow, so that no bin is opened for them; they still weigh in the choice of a bin."""
 
     tokens: int = 1024
     documents: int = 1024
     attention: int = 1024 * 1024
 
 
+#: Weights of residual tokens, documents and attention when a bin is chosen.
+WEIGHTS = (1.0, 1.0, 1.0)
+
+
 def _byte_ranks(path: str) -> dict[bytes, int]:
     """Bytes -> id of a byte-level BPE in tokenizers' JSON form, whose printable alphabet is undone here."""
     import json
@@ -94,7 +98,7 @@ def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int =
     return map_rows(id_text(docs), "text", cut, PIECES, setup)
 
 
-def best_fit(histogram: dict[int, int], capacity: Capacity = Capacity(), choose: str = "norm", weights: tuple[float, float, float] = (1.0, 0.0, 0.0)) -> tuple[np.ndarray, int]:
+def best_fit(histogram: dict[int, int], capacity: Capacity = Capacity(), choose: str = "norm", weights: tuple[float, float, float] = WEIGHTS) -> tuple[np.ndarray, int]:
     """Pack `histogram` (length -> how many). Returns placements and the number of bins.
 
     A placement (length, first rank, n, first bin, offset) puts the pieces of that length with ranks
@@ -151,7 +155,7 @@ def _choose(states: dict, demand: tuple, full: np.ndarray, w: np.ndarray, choose
     return fits[int(score.argmax())]
 
 
-def pack(items: DataFrame, capacity: Capacity = Capacity(), choose: str = "norm", weights: tuple[float, float, float] = (1.0, 0.0, 0.0)) -> DataFrame:
+def pack(items: DataFrame, capacity: Capacity = Capacity(), choose: str = "norm", weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
     """Give every row of `items` (doc_id, piece, length, ...) a sequence_id and an offset in it.
 
     Ranks among equal lengths are taken inside each partition and shifted by the counts of the partitions
@@ -164,7 +168,8 @@ def pack(items: DataFrame, capacity: Capacity = Capacity(), choose: str = "norm"
     table, _ = best_fit(histogram, capacity, choose, weights)
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select("_part", "length", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    inside = Window.partitionBy("_part", "length").orderBy("doc_id", "piece")
+    # by all columns, so that a task that runs again ranks repeated ids alike
+    inside = Window.partitionBy("_part", "length").orderBy("doc_id", "piece", *(c for c in items.columns if c not in ("doc_id", "piece", "length")))
     ranked = held.withColumn("_at", F.row_number().over(inside).cast("long") - 1).join(shifts, ["_part", "length"])
     return place(ranked.withColumn("_rank", F.col("_at") + F.col("_shift")).drop("_at", "_shift", "_part"), table)
 

@@ -267,7 +267,8 @@ def near_duplicates(docs: DataFrame, words: int = 4) -> DataFrame:
     nodes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = checkpoint(components(links(nodes.select("fp"))))
     placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    # both sides come straight from a shuffle, so that adaptive execution can split a hot root
+    named = checkpoint(placed.groupBy("root").agg(F.min("least").alias("component_id")))
     labels = checkpoint(placed.join(named, "root").select("fp", "component_id"))
     return prints.join(labels.hint("merge"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -242,11 +242,11 @@ def _deal(rows: DataFrame, group: str, columns: list[str], parts: int) -> DataFr
 def _hot_links(cells: DataFrame, hot: DataFrame, most: int, parts: int) -> DataFrame:
     """Links among the documents of hot keys: with each key's smallest document, then of those that it doesn't reach with all."""
     own = checkpoint(cells.join(hot, "key"))
-    hubs = own.groupBy("key").agg(F.min(F.struct("id", *PRINTS)).alias("hub"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    hubs = checkpoint(own.groupBy("key").agg(F.min(F.struct("id", *PRINTS)).alias("hub"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
     differ: Column = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"hub.{c}"))) for c in PRINTS[1:]), F.bit_count(F.col(PRINTS[0]).bitwiseXOR(F.col(f"hub.{PRINTS[0]}"))))
     near = checkpoint(own.join(hubs.hint("merge"), "key").withColumn("rest", (differ > most).cast("int")))
     reached = near.where("rest = 0").select(F.col("id").alias("a"), F.col("hub.id").alias("b"))
-    left = near.where("rest = 1").groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("rest_blocks"))
+    left = checkpoint(near.where("rest = 1").groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("rest_blocks")))
 
     def settle(ids, rest, *prints) -> pa.RecordBatch:
         order = np.argsort(1 - rest.to_numpy(), kind="stable")
@@ -301,13 +301,15 @@ def _true_links(known: DataFrame, nodes: DataFrame, loose: DataFrame, words: int
     """
     members = checkpoint(nodes.select(F.col("id").alias("node"), "size").join(loose, "node"))
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / SET_BLOCK, F.sum("size") / SET_SHINGLES)).cast("int")
-    placed = checkpoint(members.join(members.groupBy("root").agg(blocks.alias("blocks")).hint("merge"), "root").select("node", "root", "blocks").distinct())
+    # written first, so that both sides come straight from a shuffle and a hot root can be split
+    sizes = checkpoint(members.groupBy("root").agg(blocks.alias("blocks")))
+    placed = checkpoint(members.join(sizes.hint("merge"), "root").select("node", "root", "blocks").distinct())
 
     def of(part: pa.RecordBatch) -> dict:
         return {c: part.column(c) for c in ("id", "root", "blocks")} | {"hashes": [shingle_hashes(t, words).tobytes() for t in part.column("text").to_pylist()]}
 
     texts = known.join(placed, known.doc_id == placed.node).select(F.col("node").alias("id"), "root", "blocks", "text")
-    own = map_rows(texts, "text", of, "id long, root long, blocks int, hashes binary").where("length(hashes) > 0")
+    own = checkpoint(map_rows(texts, "text", of, "id long, root long, blocks int, hashes binary").where("length(hashes) > 0"))
     first = own.withColumn("_own", F.when(F.col("id") == F.col("root"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), "blocks").cast("int")))).withColumn("_own", F.explode("_own"))
     judge = _judge(similarity)
     dealt = first.select(F.xxhash64("root", "_own").alias("task"), "id", "hashes").repartition(parts, "task").sortWithinPartitions("task")
@@ -316,10 +318,10 @@ def _true_links(known: DataFrame, nodes: DataFrame, loose: DataFrame, words: int
     if not large.limit(1).count():
         return found
     reached = components(found).withColumnRenamed("root", "mark")
-    marks = large.join(reached, "node", "left").select("node", "root", "blocks", F.coalesce("mark", "node").alias("mark"))
-    hub = marks.where("node = root").select("root", F.col("mark").alias("hub"))
-    split = checkpoint(marks.join(hub, "root").select("node", "root", "blocks", (F.col("mark") != F.col("hub")).cast("int").alias("rest")))
-    left = split.where("rest = 1").groupBy("root").agg(F.ceil(F.count(F.lit(1)) / SET_BLOCK).cast("int").alias("rest_blocks"))
+    marks = checkpoint(large.join(reached, "node", "left").select("node", "root", "blocks", F.coalesce("mark", "node").alias("mark")))
+    hub = checkpoint(marks.where("node = root").select("root", F.col("mark").alias("hub")))
+    split = checkpoint(marks.join(hub.hint("merge"), "root").select("node", "root", "blocks", (F.col("mark") != F.col("hub")).cast("int").alias("rest")))
+    left = checkpoint(split.where("rest = 1").groupBy("root").agg(F.ceil(F.count(F.lit(1)) / SET_BLOCK).cast("int").alias("rest_blocks")))
     again = own.select("id", "hashes").join(split.join(left.hint("merge"), "root").withColumnRenamed("node", "id"), "id")
     return found.unionByName(_deal(again, "root", ["id", "hashes"], parts).mapInArrow(judge, EDGE).select("a", "b")).distinct()
 
