@@ -285,3 +285,33 @@ def test_reconcile_and_gaps(spark):
     rows = frame(spark, [tick(s, ts=t) for s, t in ((1, 0), (4, 1), (2, 2))] + [tick(9, ts=20)])
     found = {x["missing_seq"]: x["state"] for x in feeds.gap_lifecycle(rows).collect()}
     assert found[2] == "FILLED" and found[3] == "EXPIRED" and found[8] == "OPEN"
+
+
+def test_venue_bands_through_the_operators(spark):
+    """A jump beyond a venue's band is named after it where ticks have a venue, in batch; without the column it is only an anomaly."""
+    from tickloom.operators import quality_state
+
+    rows = [(f"e{i:03}", "S0", "A", "TRADE", float(i), float(i), i, 100.0 + 0.01 * (i % 5) if i < 200 else 115.0, 1.0, None, None, None, None, v) for v in ("XNSE",) for i in range(201)]
+    names = "event_id string, source string, instrument_id string, event_type string, exchange_timestamp double, receive_timestamp double, sequence_number long, price double, quantity double, bid_price double, bid_size double, ask_price double, ask_size double, venue string"
+    ticks = spark.createDataFrame(rows, names)
+    last = lambda t: next(r["reasons"] for r in quality_state.judge_batch(t).collect() if r["event_id"] == "e200")
+    assert set(last(ticks)) == {"PRICE_ANOMALY", "CIRCUIT_FILTER_BREACH"}
+    assert set(last(ticks.drop("venue"))) == {"PRICE_ANOMALY"}
+
+
+def test_bars_of_equal_times(spark):
+    from tickloom.operators import aggregates
+
+    rows = [(f"e{9 - i}", "A", "TRADE", 5.0, i, 100.0 + i, 1.0) for i in range(6)] + [("q", "A", "QUOTE", 1.0, 0, 7.0, 1.0)]
+    ticks = spark.createDataFrame(rows, "event_id string, instrument_id string, event_type string, exchange_timestamp double, sequence_number long, price double, quantity double")
+    bar = aggregates.ohlcv(ticks, interval=5.0).collect()
+    assert [(b["open"], b["close"], b["low"], b["trade_count"]) for b in bar] == [(100.0, 105.0, 100.0, 6)]
+
+
+def test_places_of_values(spark):
+    from tickloom.operators import aggregates
+
+    values = [3.0, 1.0, 1.0, None, 2.0, 3.0, 3.0]
+    found = aggregates.with_places(spark.createDataFrame([(v,) for v in values], "v double"), "v").collect()
+    assert sorted((r["v"], r["times"], r["upto"], r["total"]) for r in found) == [(1.0, 2, 2, 6), (2.0, 1, 3, 6), (3.0, 3, 6, 6)]
+    assert aggregates.with_places(spark.createDataFrame([], "v double"), "v").count() == 0

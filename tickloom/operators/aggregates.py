@@ -11,25 +11,14 @@ from pyspark.sql import functions as F
 from tickloom.schema import INTERVALS, bucket, order_key, symbol_filter
 
 
-def _first_by(value: str, ts: str) -> Column:
-    return F.min_by(value, order_key(ts))
-
-
-def _last_by(value: str, ts: str) -> Column:
-    return F.max_by(value, order_key(ts))
-
-
 def ohlcv(ticks: DataFrame, symbol: str | None = None, interval: float = 5.0, limit: int | None = None) -> DataFrame:
-    """Open, high, low, close, volume and count of priced rows per instrument and bucket; with a limit, the newest buckets. Rows at the same time are told apart by a hash of their id."""
-    rows = ticks.where(F.col("price").isNotNull() & symbol_filter(symbol)).withColumn("bucket", bucket("exchange_timestamp", interval))
-    bars = rows.groupBy("instrument_id", "bucket").agg(
-        F.round(_first_by("price", "exchange_timestamp"), 4).alias("open"),
-        F.round(F.max("price"), 4).alias("high"),
-        F.round(F.min("price"), 4).alias("low"),
-        F.round(_last_by("price", "exchange_timestamp"), 4).alias("close"),
-        F.round(F.sum(F.coalesce("quantity", F.lit(0.0))), 2).alias("volume"),
-        F.count(F.lit(1)).alias("trade_count"),
-    )
+    """Open, high, low, close, volume and count of priced trades per instrument and bucket; with a limit, the newest buckets. Trades at the same time are ordered by sequence number, then by id."""
+    rows = ticks.where((F.col("event_type") == "TRADE") & F.col("price").isNotNull() & symbol_filter(symbol))
+    rows = rows.select("instrument_id", bucket("exchange_timestamp", interval).alias("bucket"), "price", "quantity", order_key("exchange_timestamp").alias("k"))
+    bars = rows.groupBy("instrument_id", "bucket").agg(*map(F.expr, (
+        "round(min_by(price, k), 4) AS open", "round(max(price), 4) AS high", "round(min(price), 4) AS low", "round(max_by(price, k), 4) AS close",
+        "round(sum(coalesce(quantity, 0D)), 2) AS volume", "count(1) AS trade_count",
+    )))
     return bars if limit is None else bars.orderBy(F.desc("bucket"), "instrument_id").limit(limit)
 
 
@@ -82,16 +71,10 @@ def vwap(ticks: DataFrame, symbol: str | None = None, start: float | None = None
         rows = rows.where(F.col("exchange_timestamp") >= start)
     if end is not None:
         rows = rows.where(F.col("exchange_timestamp") <= end)
-    notional = F.sum(F.col("price") * F.col("quantity"))
-    zero = F.lit(0.0)
-    return rows.agg(
-        F.round(F.coalesce(notional / F.sum("quantity"), zero), 4).alias("vwap"),
-        F.round(F.coalesce(notional, zero), 2).alias("notional"),
-        F.round(F.coalesce(F.sum("quantity"), zero), 4).alias("volume"),
-        F.coalesce(F.min("price"), zero).alias("min_price"),
-        F.coalesce(F.max("price"), zero).alias("max_price"),
-        F.count(F.lit(1)).alias("trade_count"),
-    )
+    return rows.agg(*map(F.expr, (
+        "round(coalesce(sum(price * quantity) / sum(quantity), 0D), 4) AS vwap", "round(coalesce(sum(price * quantity), 0D), 2) AS notional",
+        "round(coalesce(sum(quantity), 0D), 4) AS volume", "coalesce(min(price), 0D) AS min_price", "coalesce(max(price), 0D) AS max_price", "count(1) AS trade_count",
+    )))
 
 
 def vwap_by_instrument(ticks: DataFrame) -> DataFrame:
@@ -111,11 +94,35 @@ def spreads(ticks: DataFrame) -> DataFrame:
 
 
 def latency_quantiles(ticks: DataFrame) -> DataFrame:
-    """Exact quantiles of processing latency in microseconds, where it isn't negative."""
+    """Exact quantiles of processing latency in microseconds, where it isn't negative; between two values in proportion."""
     us = (F.col("processing_timestamp") - F.col("receive_timestamp")) * F.lit(1e6)
-    rows = ticks.where("processing_timestamp >= receive_timestamp").select(us.alias("us"))
-    at = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p999": 0.999}
-    return rows.agg(*(F.round(F.percentile("us", F.lit(q).cast("double")), 2).alias(n) for n, q in at.items()), F.round(F.avg("us"), 2).alias("mean"), F.count(F.lit(1)).alias("n"))
+    placed = with_places(ticks.where("processing_timestamp >= receive_timestamp").select(us.alias("us")), "us")
+    out = []
+    for name, q in (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99), ("p999", 0.999)):
+        at = f"({q}D * (max(upto) - 1))"
+        low, high = (f"min(us) FILTER (WHERE upto > {f}({q}D * (total - 1)))" for f in ("floor", "ceil"))
+        out.append(F.expr(f"round({low} + ({high} - {low}) * ({at} - floor({at})), 2) AS {name}"))
+    return placed.agg(*out, F.expr("round(sum(us * times) / sum(times), 2) AS mean"), F.expr("sum(times) AS n"))
+
+
+#: Parts into which with_places cuts each doubling of a value.
+STEPS = 32
+
+
+def with_places(rows: DataFrame, value: str) -> DataFrame:
+    """Each distinct value that isn't null, how many `times` it occurs, how many rows are `upto` it, and the `total`.
+
+    The value with the 0-based place k in order is the least whose `upto` exceeds k. Equal values are
+    counted before the shuffle; running sums are taken inside steps of the logarithm (some thousand at the
+    most, whatever the rows) and over the steps' sums, so neither all rows nor all values pass through one
+    task.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("times"))
+    dealt = counts.withColumn("_step", F.expr(f"CAST(signum({value}) * floor(log2(abs({value}) + 1) * {STEPS}) AS INT)"))
+    sums = dealt.groupBy("_step").agg(F.sum("times").alias("_n"))
+    before = sums.selectExpr("_step", "coalesce(sum(_n) OVER (ORDER BY _step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS _before", "sum(_n) OVER () AS total")
+    inside = dealt.selectExpr("*", f"sum(times) OVER (PARTITION BY _step ORDER BY {value} ROWS UNBOUNDED PRECEDING) AS _inside")
+    return inside.join(F.broadcast(before), "_step").select(value, "times", (F.col("_inside") + F.col("_before")).alias("upto"), "total")
 
 
 def volume_profile(ticks: DataFrame, bins: int = 10) -> DataFrame:

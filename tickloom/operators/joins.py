@@ -25,9 +25,16 @@ def bar_as_of(bars: DataFrame, ts: float, completed_only: bool = True) -> DataFr
     return bars.where(begun).groupBy("instrument_id", "interval_s").agg(F.max_by(F.struct(*bars.columns), "bucket_start").alias("r")).select("r.*")
 
 
+def _tie(rows: DataFrame, values: list[str]) -> Column:
+    """What orders rows at the same time: sequence number and id as far as there are such columns, then the values."""
+    return F.struct(*(c for c in ("sequence_number", "event_id") if c in rows.columns), *(F.col(v).alias(f"v{i}") for i, v in enumerate(values)))
+
+
 def as_of(left: DataFrame, right: DataFrame, values: list[str], by: str = "instrument_id", ts: str = "exchange_timestamp", chunk_s: float | None = None) -> DataFrame:
     """Each left row with the `values` of the last right row of its key at or before it (a right row at the same time counts).
 
+    Of right rows at one time the last is that with the highest sequence number, then id, then values.
+
     With chunk_s a key's history is dealt out by chunks of that many seconds, so that a hot key isn't one
     task's: what a chunk inherits from those before it is found on one row a chunk.
     """
@@ -35,10 +42,10 @@ def as_of(left: DataFrame, right: DataFrame, values: list[str], by: str = "instr
     if chunk_s is not None:
         left, right = (d.withColumn("_chunk", F.floor(F.col(ts) / F.lit(float(chunk_s)))) for d in (left, right))
         keys = [by, "_chunk"]
-    payload = right.select(F.struct(*values)).schema[0].dataType
-    a = left.select(*keys, ts, F.lit(1).alias("_kind"), F.struct(*left.columns).alias("_left"), F.lit(None).cast(payload).alias("_right"))
-    b = right.select(*keys, ts, F.lit(0).alias("_kind"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_left"), F.struct(*values).alias("_right"))
-    order = Window.partitionBy(*keys).orderBy(ts, "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    payload, tied = (right.select(x).schema[0].dataType for x in (F.struct(*values), _tie(right, values)))
+    a = left.select(*keys, ts, F.lit(1).alias("_kind"), F.lit(None).cast(tied).alias("_tie"), F.struct(*left.columns).alias("_left"), F.lit(None).cast(payload).alias("_right"))
+    b = right.select(*keys, ts, F.lit(0).alias("_kind"), _tie(right, values).alias("_tie"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_left"), F.struct(*values).alias("_right"))
+    order = Window.partitionBy(*keys).orderBy(ts, "_kind", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     met = a.unionByName(b).withColumn("_seen", F.last("_right", ignorenulls=True).over(order)).where("_kind = 1")
     if chunk_s is not None:
         met = met.join(_inherited(left, right, values, by, ts, payload), keys, "left").withColumn("_seen", F.coalesce("_seen", "_before")).drop("_before")
@@ -48,7 +55,7 @@ def as_of(left: DataFrame, right: DataFrame, values: list[str], by: str = "instr
 
 def _inherited(left: DataFrame, right: DataFrame, values: list[str], by: str, ts: str, payload) -> DataFrame:
     """Of each key and chunk of left: the last right row of earlier chunks."""
-    last = right.groupBy(by, "_chunk").agg(F.max_by(F.struct(*values), ts).alias("_last"))
+    last = right.groupBy(by, "_chunk").agg(F.max_by(F.struct(*values), F.struct(ts, _tie(right, values))).alias("_last"))
     wanted = left.select(by, "_chunk").distinct().withColumn("_last", F.lit(None).cast(payload))
     chunks = last.unionByName(wanted).groupBy(by, "_chunk").agg(F.first("_last", ignorenulls=True).alias("_last"))
     earlier = Window.partitionBy(by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -56,11 +63,11 @@ def _inherited(left: DataFrame, right: DataFrame, values: list[str], by: str, ts
 
 
 def as_of_forward(left: DataFrame, right: DataFrame, value: str, delay: float, by: str = "instrument_id", ts: str = "exchange_timestamp", out: str = "later") -> DataFrame:
-    """Each left row with the first `value` at its time plus delay or after, else the last known one of its key."""
-    value_type = right.schema[value].dataType
-    a = left.select(by, (F.col(ts) + F.lit(float(delay))).alias("_at"), F.lit(0).alias("_kind"), F.struct(*left.columns).alias("_left"), F.lit(None).cast(value_type).alias("_v"))
-    b = right.select(by, F.col(ts).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_left"), F.col(value).alias("_v"))
-    key = Window.partitionBy(by).orderBy("_at", "_kind")
+    """Each left row with the first `value` at its time plus delay or after, else the last known one of its key. Right rows at one time are ordered by sequence number, id and value."""
+    value_type, tied = right.schema[value].dataType, right.select(_tie(right, [value])).schema[0].dataType
+    a = left.select(by, (F.col(ts) + F.lit(float(delay))).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast(tied).alias("_tie"), F.struct(*left.columns).alias("_left"), F.lit(None).cast(value_type).alias("_v"))
+    b = right.select(by, F.col(ts).alias("_at"), F.lit(1).alias("_kind"), _tie(right, [value]).alias("_tie"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_left"), F.col(value).alias("_v"))
+    key = Window.partitionBy(by).orderBy("_at", "_kind", "_tie")
     met = a.unionByName(b).withColumns({
         "_next": F.first("_v", ignorenulls=True).over(key.rowsBetween(0, Window.unboundedFollowing)),
         "_before": F.last("_v", ignorenulls=True).over(key.rowsBetween(Window.unboundedPreceding, 0)),

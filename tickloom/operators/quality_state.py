@@ -214,6 +214,11 @@ COLUMNS = ["event_id", "source", "instrument_id", "event_type", "exchange_timest
 SCHEMA = "event_id string, source string, instrument_id string, quality_status string, reasons array<string>"
 
 
+def _own_columns(ticks: DataFrame) -> DataFrame:
+    """What the rules read; `venue`, which has price bands of its own, where the ticks have it."""
+    return ticks.select(*COLUMNS, *(c for c in ("venue",) if c in ticks.columns))
+
+
 def _judged(judge: Judge, own: pd.DataFrame) -> pd.DataFrame:
     names = list(own.columns)
     found = [(e["event_id"], e["source"], e["instrument_id"], *judge.judge(e)) for e in (dict(zip(names, row)) for row in zip(*(own[c].tolist() for c in names)))]
@@ -226,7 +231,7 @@ def judge_batch(ticks: DataFrame, config: Config = Config()) -> DataFrame:
     def fold(own: pd.DataFrame) -> pd.DataFrame:
         return _judged(Judge(config), own.sort_values(["receive_timestamp", "event_id"], kind="stable"))
 
-    return ticks.select(*COLUMNS).groupBy("source", "instrument_id").applyInPandas(fold, SCHEMA)
+    return _own_columns(ticks).groupBy("source", "instrument_id").applyInPandas(fold, SCHEMA)
 
 
 def judge_stream(ticks: DataFrame, config: Config = Config()) -> DataFrame:
@@ -239,4 +244,4 @@ def judge_stream(ticks: DataFrame, config: Config = Config()) -> DataFrame:
         state.update((pickle.dumps(judge),))
         yield out
 
-    return ticks.select(*COLUMNS).groupBy("source", "instrument_id").applyInPandasWithState(fold, SCHEMA, "judge binary", "append", GroupStateTimeout.NoTimeout)
+    return _own_columns(ticks).groupBy("source", "instrument_id").applyInPandasWithState(fold, SCHEMA, "judge binary", "append", GroupStateTimeout.NoTimeout)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.operators.aggregates import with_places
+
 D = lambda v: F.lit(v).cast("double")
 
 
@@ -56,13 +58,10 @@ def _sums() -> list:
 
 def batch(evaluated: DataFrame) -> DataFrame:
     """One row over all executions. The middle and the 95th of 100 are the values at those places of the sorted slippages."""
-    n = evaluated.count()
-    at = {0.5: n // 2, 0.95: min(n - 1, int(n * 0.95))} if n else {}
     rows = evaluated.agg(*_sums(), F.avg("quality_score").alias("_score"))
-    ranked = evaluated.select("slippage_bps").orderBy("slippage_bps")
-    picked = {q: ranked.offset(i).limit(1).agg(F.round(F.max("slippage_bps"), 2).alias(f"p{int(q * 100)}_slippage_bps")) for q, i in at.items()}
-    for one in picked.values():
-        rows = rows.crossJoin(one)
+    at = {"p50": "floor(total / 2)", "p95": "least(total - 1, floor(total * 0.95D))"}
+    places = with_places(evaluated, "slippage_bps").agg(*(F.expr(f"round(min(slippage_bps) FILTER (WHERE upto > {k}), 2) AS {q}_slippage_bps") for q, k in at.items()))
+    rows = rows.crossJoin(places)  # a row each
     return rows.withColumns({"overall_quality_score": F.round("_score", 1), "compliant": F.col("_score") >= 65}).drop("_score")
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tickloom.functions import finance
-from tickloom.operators import depth
+from tickloom.operators import aggregates, depth, joins
 from tickloom.operators import windows as W
 from tickloom.plans.catalog import TICKS, query
 from tickloom.plans.market import WITH_BARS, _daily, _quotes
@@ -91,3 +91,45 @@ def epoch_units(spark, d):
   SELECT event_id, CAST(sum(n) OVER (PARTITION BY source, instrument_id ORDER BY r, event_id) AS BIGINT) AS epoch FROM n""")
 def epochs_numbered(spark, d):
     return W.epochs(ticks(spark, d).withColumn("sequence_number", F.col("sequence_number") % 500)).select("event_id", "epoch")
+
+
+# ---- ticks at the same time -----------------------------------------------------------------------
+
+TIED = f"{TICKS}, tied AS (SELECT * REPLACE (floor(exchange_timestamp / 3600) * 3600 AS exchange_timestamp, floor(receive_timestamp / 3600) * 3600 AS receive_timestamp) FROM ticks)"
+
+
+def _tied(spark, d, kind=None):
+    """Ticks with times cut to the hour, so that many are equal."""
+    hour = lambda c: F.floor(F.col(c) / 3600).cast("double") * 3600
+    return ticks(spark, d, kind).withColumns({c: hour(c) for c in ("exchange_timestamp", "receive_timestamp")})
+
+
+@query("ohlcv_tied", f"""WITH {TIED} SELECT instrument_id, floor(exchange_timestamp / 86400::DOUBLE) * 86400::DOUBLE AS bucket,
+  round(arg_min(price, row(exchange_timestamp, sequence_number, event_id)), 4) AS open, round(max(price), 4) AS high, round(min(price), 4) AS low,
+  round(arg_max(price, row(exchange_timestamp, sequence_number, event_id)), 4) AS close, round(sum(coalesce(quantity, 0)), 2) AS volume, count(*) AS trade_count
+  FROM tied WHERE event_type = 'TRADE' AND price IS NOT NULL GROUP BY ALL""")
+def ohlcv_tied(spark, d):
+    return aggregates.ohlcv(_tied(spark, d), interval=86400.0)
+
+
+@query("bars_tied", f"""WITH {TIED}, x AS (SELECT *, unnest([3600, 86400]) AS i FROM tied WHERE price IS NOT NULL)
+  SELECT instrument_id, CASE i WHEN 3600 THEN '1h' ELSE '1d' END AS interval, floor(exchange_timestamp / i::DOUBLE) * i::DOUBLE AS bucket_start,
+  arg_min(price, row(receive_timestamp, sequence_number, event_id)) AS open, arg_max(price, row(receive_timestamp, sequence_number, event_id)) AS close, count(*) AS trade_count
+  FROM x GROUP BY instrument_id, i, bucket_start""")
+def bars_tied(spark, d):
+    rows = _tied(spark, d).withColumn("quality_status", F.lit("VALID"))
+    return aggregates.bars(rows, {"1h": 3600.0, "1d": 86400.0}).select("instrument_id", "interval", "bucket_start", "open", "close", "trade_count")
+
+
+ASOF_TIED = f"""WITH {TIED}, q AS (SELECT instrument_id, exchange_timestamp, arg_max(row(bid_price, ask_price), row(sequence_number, event_id)) AS last FROM tied WHERE event_type = 'QUOTE' GROUP BY 1, 2)
+  SELECT t.event_id, q.last[1] AS asof_bid_price, q.last[2] AS asof_ask_price FROM (SELECT * FROM tied WHERE event_type = 'TRADE') t ASOF LEFT JOIN q ON t.instrument_id = q.instrument_id AND t.exchange_timestamp >= q.exchange_timestamp"""
+
+
+@query("asof_tied", ASOF_TIED)
+def asof_tied(spark, d):
+    return joins.as_of(_tied(spark, d, "TRADE"), _tied(spark, d, "QUOTE"), ["bid_price", "ask_price"]).select("event_id", "asof_bid_price", "asof_ask_price")
+
+
+@query("asof_tied_chunked", ASOF_TIED)
+def asof_tied_chunked(spark, d):
+    return joins.as_of(_tied(spark, d, "TRADE"), _tied(spark, d, "QUOTE"), ["bid_price", "ask_price"], chunk_s=86400.0).select("event_id", "asof_bid_price", "asof_ask_price")

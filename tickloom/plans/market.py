@@ -30,8 +30,8 @@ def _daily(spark: SparkSession, d: str) -> DataFrame:
 
 
 BARS_SQL = f"""bars AS (SELECT instrument_id, floor(exchange_timestamp / {DAY}::DOUBLE) * {DAY}::DOUBLE AS bucket,
-  round(arg_min(price, row(exchange_timestamp, event_id)), 4) AS open, round(max(price), 4) AS high, round(min(price), 4) AS low,
-  round(arg_max(price, row(exchange_timestamp, event_id)), 4) AS close, round(sum(coalesce(quantity, 0)), 2) AS volume, count(*) AS trade_count
+  round(arg_min(price, row(exchange_timestamp, sequence_number, event_id)), 4) AS open, round(max(price), 4) AS high, round(min(price), 4) AS low,
+  round(arg_max(price, row(exchange_timestamp, sequence_number, event_id)), 4) AS close, round(sum(coalesce(quantity, 0)), 2) AS volume, count(*) AS trade_count
   FROM ticks WHERE price IS NOT NULL GROUP BY ALL)"""
 WITH_BARS = f"WITH {TICKS}, {BARS_SQL} "
 
@@ -42,8 +42,8 @@ def ohlcv_daily(spark, d):
 
 
 @query("ohlcv_5s_newest", f"""WITH {TICKS} SELECT instrument_id, floor(exchange_timestamp / 5::DOUBLE) * 5::DOUBLE AS bucket,
-  round(arg_min(price, row(exchange_timestamp, event_id)), 4) AS open, round(max(price), 4) AS high, round(min(price), 4) AS low,
-  round(arg_max(price, row(exchange_timestamp, event_id)), 4) AS close, round(sum(coalesce(quantity, 0)), 2) AS volume, count(*) AS trade_count
+  round(arg_min(price, row(exchange_timestamp, sequence_number, event_id)), 4) AS open, round(max(price), 4) AS high, round(min(price), 4) AS low,
+  round(arg_max(price, row(exchange_timestamp, sequence_number, event_id)), 4) AS close, round(sum(coalesce(quantity, 0)), 2) AS volume, count(*) AS trade_count
   FROM ticks WHERE price IS NOT NULL AND instrument_id = 'I1' GROUP BY ALL ORDER BY bucket DESC LIMIT 100""")
 def ohlcv_5s_newest(spark, d):
     return A.ohlcv(_trades(spark, d), "I1", 5.0, 100)
@@ -148,15 +148,15 @@ def latency_histogram(spark, d):
 
 @query("bars_multi_interval", f"""WITH {JUDGED}, x AS (SELECT *, unnest([60, 3600, 86400]) AS i FROM judged WHERE price IS NOT NULL AND quality_status <> 'INVALID')
   SELECT instrument_id, CASE i WHEN 60 THEN '1m' WHEN 3600 THEN '1h' ELSE '1d' END AS interval, floor(exchange_timestamp / i::DOUBLE) * i::DOUBLE AS bucket_start,
-  arg_min(price, row(receive_timestamp, event_id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, row(receive_timestamp, event_id)) AS close,
+  arg_min(price, row(receive_timestamp, sequence_number, event_id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, row(receive_timestamp, sequence_number, event_id)) AS close,
   sum(quantity) AS volume, count(*) AS trade_count, round(sum(price * quantity) / sum(quantity), 6) AS vwap FROM x GROUP BY instrument_id, i, bucket_start""")
 def bars_multi_interval(spark, d):
     return A.bars(rules.judge(ticks(spark, d)), {"1m": 60.0, "1h": 3600.0, "1d": 86400.0}).withColumn("vwap", F.round("vwap", 6))
 
 
 @query("bars_merged", f"""WITH {JUDGED}, x AS (SELECT *, floor(exchange_timestamp / 86400::DOUBLE) * 86400::DOUBLE AS bucket_start FROM judged WHERE price IS NOT NULL AND quality_status <> 'INVALID')
-  SELECT instrument_id, '1d' AS interval, bucket_start, coalesce(arg_min(price, row(receive_timestamp, event_id)) FILTER (source <> 'S2'), arg_min(price, row(receive_timestamp, event_id))) AS open, max(price) AS high, min(price) AS low,
-  coalesce(arg_max(price, row(receive_timestamp, event_id)) FILTER (source = 'S2'), arg_max(price, row(receive_timestamp, event_id))) AS close, sum(quantity) AS volume, CAST(count(*) AS BIGINT) AS trade_count, round(sum(price * quantity) / sum(quantity), 6) AS vwap
+  SELECT instrument_id, '1d' AS interval, bucket_start, coalesce(arg_min(price, row(receive_timestamp, sequence_number, event_id)) FILTER (source <> 'S2'), arg_min(price, row(receive_timestamp, sequence_number, event_id))) AS open, max(price) AS high, min(price) AS low,
+  coalesce(arg_max(price, row(receive_timestamp, sequence_number, event_id)) FILTER (source = 'S2'), arg_max(price, row(receive_timestamp, sequence_number, event_id))) AS close, sum(quantity) AS volume, CAST(count(*) AS BIGINT) AS trade_count, round(sum(price * quantity) / sum(quantity), 6) AS vwap
   FROM x GROUP BY instrument_id, bucket_start""")
 def bars_merged(spark, d):
     j = rules.judge(ticks(spark, d))

@@ -39,13 +39,9 @@ def bucket(ts: Column | str, interval: float) -> Column:
     return F.floor(col / F.lit(float(interval))).cast("double") * F.lit(float(interval))
 
 
-def order_key(ts: str, tie: str = "event_id") -> Column:
-    """A number by which rows are ordered in time (to 1e-7 s), equals by a hash of `tie`.
-
-    First and last values by a number can be aggregated in a hash table; by a struct they need a sort of all rows.
-    """
-    ticks = F.round(F.col(ts) * F.lit(1e7)).cast("decimal(20,0)")
-    return (ticks * F.lit(10**18).cast("decimal(19,0)")).cast("decimal(38,0)") + F.pmod(F.xxhash64(tie), F.lit(10**18)).cast("decimal(19,0)")
+def order_key(ts: str) -> Column:
+    """What rows of an instrument are ordered by in time: `ts`, then the sequence number, then the id. The smallest or greatest row by it is one row only."""
+    return F.struct(F.col(ts), F.coalesce("sequence_number", F.lit(-1)).alias("sequence"), F.col("event_id"))
 
 
 def event_order() -> list[Column]:

@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A Parquet table. Its schema is read from the files once an application, which spares a job for each later use."""
+    path = f"{folder}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 #: Raw event types behind each kind of tick.
@@ -19,27 +28,29 @@ def ticks(spark: SparkSession, folder: str, kind: str | None = None) -> DataFram
 
     With a kind, only those: the filter is on the stored column, so that it reaches the Parquet scan.
     """
-    k, seconds = F.col("k"), F.col("sec")
-    trade, quote = F.col("event_type").isin("click", "purchase"), F.col("event_type").isin("view", "signup")
     events = table(spark, folder, "events")
     events = events.where(F.col("event_type").isin(*KINDS[kind])) if kind else events
-    # in a projection of their own, so that they aren't copied into each column; filters copy them all the same,
-    # and the number is cheaper by place than by parsing the whole of props, which is always {"k": n}
-    events = events.withColumns({"k": F.translate("props", '{"k: }', "").cast("int"), "sec": F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)})
-    return events.select(
-        F.concat(F.lit("e"), "event_id").alias("event_id"),
-        F.concat(F.lit("I"), F.col("user_id") % 10).alias("instrument_id"),
-        F.when(trade, "TRADE").when(quote, "QUOTE").otherwise("STATUS").alias("event_type"),
-        seconds.alias("exchange_timestamp"),
-        (seconds + (k % 8) * F.lit(0.01).cast("double")).alias("receive_timestamp"),
-        (seconds + (k % 8) * F.lit(0.01).cast("double") + (k + 1) * F.lit(1e-6)).alias("processing_timestamp"),
-        F.concat(F.lit("S"), F.col("user_id") % 3).alias("source"),
-        F.col("event_id").alias("sequence_number"),
-        F.when(trade, F.col("value")).alias("price"),
-        F.when(trade, (k + 1).cast("double")).alias("quantity"),
-        F.when(quote, F.col("value") - (k % 7 - 1) * F.lit(0.01).cast("double")).alias("bid_price"),
-        F.when(quote, (k + 1).cast("double")).alias("bid_size"),
-        F.when(quote, F.col("value")).alias("ask_price"),
-        F.when(quote, (k % 13 + 1).cast("double")).alias("ask_size"),
-        F.col("user_id").alias("user_id"),
-    )
+    # in a projection of their own, so that they aren't copied into each column; and as text, since one call
+    # parses what would take some hundred calls to build
+    return events.selectExpr("*", *NUMBERS).selectExpr(*COLUMNS)
+
+
+NUMBERS = ("try_cast(get_json_object(props, '$.k') AS INT) AS k", "unix_micros(CAST(ts AS TIMESTAMP)) / 1e6D AS sec")
+_TRADE, _QUOTE = "event_type IN ('click', 'purchase')", "event_type IN ('view', 'signup')"
+COLUMNS = (
+    "concat('e', event_id) AS event_id",
+    "concat('I', user_id % 10) AS instrument_id",
+    f"CASE WHEN {_TRADE} THEN 'TRADE' WHEN {_QUOTE} THEN 'QUOTE' ELSE 'STATUS' END AS event_type",
+    "sec AS exchange_timestamp",
+    "sec + (k % 8) * 0.01D AS receive_timestamp",
+    "sec + (k % 8) * 0.01D + (k + 1) * 1e-6D AS processing_timestamp",
+    "concat('S', user_id % 3) AS source",
+    "event_id AS sequence_number",
+    f"CASE WHEN {_TRADE} THEN value END AS price",
+    f"CASE WHEN {_TRADE} THEN CAST(k + 1 AS DOUBLE) END AS quantity",
+    f"CASE WHEN {_QUOTE} THEN value - (k % 7 - 1) * 0.01D END AS bid_price",
+    f"CASE WHEN {_QUOTE} THEN CAST(k + 1 AS DOUBLE) END AS bid_size",
+    f"CASE WHEN {_QUOTE} THEN value END AS ask_price",
+    f"CASE WHEN {_QUOTE} THEN CAST(k % 13 + 1 AS DOUBLE) END AS ask_size",
+    "user_id",
+)
