@@ -329,3 +329,69 @@ def test_licenses(spark, documents, odd, empty):
         rows = license_scan.scan(frame).collect()
         assert sorted(((r["doc_id"], r["sentence_ids"], r["licenses"]) for r in rows), key=repr) == sorted(((r["doc_id"], *licenses_by_hand(r["text"])) for r in frame.collect()), key=repr)
     assert all(any(m in s for m in license_scan.marks()) for s in license_scan.known())
+
+
+def plain_decode(data):
+    """Pixels by the pixel-by-pixel loop alone."""
+    held, webp.PLANE_PIXELS = webp.PLANE_PIXELS, 1 << 60
+    try:
+        return webp.decode(data)
+    finally:
+        webp.PLANE_PIXELS = held
+
+
+def test_stored_texts_go_through_the_whole_format(documents, monkeypatch):
+    """Over the table, stored files have each transform, cache hits and references; arrays read what the loop reads."""
+    r = random.Random(5)
+    texts = ["", "a", "ab" * 300, "x" * 5000, "".join(r.choice("01") for _ in range(3000)), "short text of few words", "line of a text that comes again\n" * 300, "".join(chr(r.randrange(32, 127)) for _ in range(40_000))]
+    texts += [d["text"] for d in documents.collect()]
+    met = dict.fromkeys(("_unpredict", "_cross", "_green", "_unpalette", "copies", "cache"), 0)
+
+    def counted(name):
+        inner = getattr(webp, name)
+
+        def call(*a, **k):
+            met[name] += 1
+            return inner(*a, **k)
+
+        return call
+
+    copies, tokens = webp._copies, webp._tokens
+
+    def count_copies(plane):
+        found = copies(plane)
+        met["copies"] += len(found[0])
+        return found
+
+    def count_cache(*a):
+        found = tokens(*a)
+        met["cache"] += sum(t[1] == "cache" for t in found)
+        return found
+
+    monkeypatch.setattr(webp, "_copies", count_copies)
+    monkeypatch.setattr(webp, "_tokens", count_cache)
+    for name in ("_unpredict", "_cross", "_unpalette"):
+        monkeypatch.setattr(webp, name, counted(name))
+    green = webp._green
+    monkeypatch.setattr(webp, "_green", lambda argb, sign: met.__setitem__("_green", met["_green"] + 1) or green(argb, sign))
+    for k, text in enumerate(texts):
+        n, media = webp.store(text)
+        assert webp.load(media).tobytes()[:n] == (text or "").encode()
+        if k < 40 and media.count(b"WEBP") == 1:
+            assert (plain_decode(media) == webp.decode(media)).all()
+    assert all(met.values()), met
+
+
+def test_long_images_are_read_in_windows(monkeypatch):
+    monkeypatch.setattr(webp, "WINDOW", 1 << 10)
+    r = random.Random(3)
+    text = "".join(chr(r.randrange(32, 127)) for _ in range(9000)) * 2
+    n, media = webp.store(text)
+    assert webp.load(media).tobytes()[:n] == text.encode()
+    with pytest.raises(webp.WebpError):
+        webp.load(media[: len(media) // 2])
+
+
+def test_null_media(spark):
+    media = spark.createDataFrame([(1, None, None)], "doc_id long, n_bytes long, media binary")
+    assert [r["payload_bytes"] for r in webp.media_features(media).collect()] == [None]

@@ -2,17 +2,21 @@
 
 The decoder reads prefix codes (simple and coded, several groups by an entropy image), back-references
 with their plane codes, and the colour cache, inverts the predictor, cross-colour, subtract-green and
-palette transforms, and gives pixel arrays. Where no symbol depends on an earlier one's length (every
-code's lengths are equal, one group, no references), all pixels are read at once from the bits.
+palette transforms, and gives pixel arrays. An image in which green alone varies, as grey pictures are
+once their colours are taken away, is read by arrays: what a token would be is looked up at every bit,
+then the chain of the tokens that there are is followed, and copies are made run by run.
+
+Texts are stored as grey pictures with back-references: few-valued ones with a palette, small ones with
+the cross-colour transform and a colour cache, all others with subtract-green and a predictor.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import zlib
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cache, cached_property
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -63,92 +67,118 @@ class _Bits:
         return (int.from_bytes(self.data[byte : byte + 3], "little") >> (self.at & 7)) & 0x7FFF
 
 
-def _canonical(lengths: list[int]) -> list[int]:
-    """The code of each symbol: shorter codes first, then by symbol."""
-    code, before, out = 0, 0, [0] * len(lengths)
-    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
-        code <<= n - before
-        out[s] = code
-        code, before = code + 1, n
+@cache
+def _mirror(n: int) -> np.ndarray:
+    """All numbers of n bits with their bits in reverse order."""
+    out = np.zeros(1, np.int32)
+    for _ in range(n):
+        out = np.concatenate((out << 1, out << 1 | 1))
     return out
 
 
-def _reversed(code: int, n: int) -> int:
-    return int(format(code, f"0{n}b")[::-1], 2) if n else 0
+def _in_order(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols that a canonical code has, in the order of their codes (shorter first, then by symbol), and their lengths."""
+    every = np.array(lengths)
+    used = np.flatnonzero(every)
+    used = used[np.argsort(every[used], kind="stable")]
+    return used, every[used]
+
+
+def _written_codes(lengths: list[int]) -> list[int]:
+    """The code of each symbol as it is written, first bit lowest; zero for symbols without one."""
+    symbols, sizes = _in_order(lengths)
+    width = 1 << (15 - sizes)
+    out = np.zeros(len(lengths), np.int32)
+    out[symbols] = _mirror(15)[(np.cumsum(width) - width) & 0x7FFF]
+    return out.tolist()
 
 
 class _Code:
     """A prefix code for reading."""
 
     def __init__(self, lengths: list[int]):
-        used = [s for s, n in enumerate(lengths) if n]
-        self.only = used[0] if len(used) == 1 else None
-        if not used:
-            self.only = 0
-        self.width = 0
-        if self.only is not None:
-            self.symbols = np.array([self.only])
-            return
-        if sum(1 << (15 - n) for n in lengths if n) != 1 << 15:
+        self.symbols, self.sizes = _in_order(lengths)
+        self.only = (int(self.symbols[0]) if len(self.symbols) else 0) if len(self.symbols) < 2 else None
+        if self.only is None and int((1 << (15 - self.sizes)).sum()) != 1 << 15:
             raise WebpError("a prefix code is not complete")
-        sizes = {lengths[s] for s in used}
-        self.width = sizes.pop() if len(sizes) == 1 else None
-        self.symbols = np.array(used)
-        self.lengths = lengths
 
     @cached_property
-    def table(self) -> list[tuple[int, int]]:
-        """Symbol and length by the next bits, as many as the longest code has."""
-        size = 1 << self.longest
-        out = [(0, 0)] * size
-        for s, code in enumerate(_canonical(self.lengths)):
-            if n := self.lengths[s]:
-                for i in range(_reversed(code, n), size, 1 << n):
-                    out[i] = (s, n)
-        return out
+    def array(self) -> np.ndarray:
+        """16 times the symbol plus the length, by the next bits, as many as the longest code has."""
+        if self.only is not None:
+            return np.array([self.only << 4], np.int16)
+        straight = np.repeat((self.symbols << 4 | self.sizes).astype(np.int16), 1 << (self.longest - self.sizes))
+        return straight[_mirror(self.longest)]
+
+    @cached_property
+    def table(self) -> list[int]:
+        return self.array.tolist()
+
+    @property
+    def mask(self) -> int:
+        return 0 if self.only is not None else (1 << self.longest) - 1
 
     @cached_property
     def longest(self) -> int:
-        return max(self.lengths)
+        return int(self.sizes[-1])
 
     def read(self, bits: _Bits) -> int:
         if self.only is not None:
             return self.only
-        symbol, n = self.table[bits.peek15() & ((1 << self.longest) - 1)]
-        bits.at += n
+        seen = self.table[bits.peek15() & self.mask]
+        bits.at += seen & 15
         if bits.at > bits.end:
             raise WebpError("the image data ends too early")
-        return symbol
+        return seen >> 4
+
+
+@cache
+def _short_code(symbols: tuple[int, ...]) -> _Code:
+    """The code of one symbol, or of two of a bit each."""
+    lengths = [0] * 256
+    for s in symbols:
+        lengths[s] = 1
+    return _Code(lengths)
 
 
 def _read_code(bits: _Bits, alphabet: int) -> _Code:
-    lengths = [0] * alphabet
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
-        lengths[bits.read(8 if wide else 1)] = 1
-        if two:
-            lengths[bits.read(8)] = 1
-        return _Code(lengths)
+        first = bits.read(8 if wide else 1)
+        symbols = (first, bits.read(8)) if two else (first,)
+        if max(symbols) >= alphabet:
+            raise WebpError("a prefix code has a symbol outside its alphabet")
+        return _short_code(symbols)
+    lengths = [0] * alphabet
     own = [0] * 19
     for i in range(4 + bits.read(4)):
         own[LENGTH_ORDER[i]] = bits.read(3)
     code = _Code(own)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    at, before = 0, 8
+    at, before, data, place = 0, 8, bits.data, bits.at
+    table, mask = code.table, code.mask
     while at < alphabet and left:
         left -= 1
-        symbol = code.read(bits)
+        word = int.from_bytes(data[place >> 3 : (place >> 3) + 4], "little") >> (place & 7)
+        seen = table[word & mask]
+        symbol, n = seen >> 4, seen & 15
+        place += n
         if symbol < 16:
             lengths[at] = symbol
             before = symbol or before
             at += 1
             continue
         value, extra, least = ((before, 2, 3), (0, 3, 3), (0, 7, 11))[symbol - 16]
-        many = least + bits.read(extra)
+        many = least + ((word >> n) & ((1 << extra) - 1))
+        place += extra
         if at + many > alphabet:
             raise WebpError("code lengths run over")
-        lengths[at : at + many] = [value] * many
+        if value:
+            lengths[at : at + many] = [value] * many
         at += many
+    if place > bits.end:
+        raise WebpError("the image data ends too early")
+    bits.at = place
     return _Code(lengths)
 
 
@@ -179,33 +209,115 @@ def _image(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray:
     size = 1 << cache_bits if cache_bits else 0
     groups = [[_read_code(bits, n) for n in (280 + size, 256, 256, 256, 40)] for _ in range(n_groups)]
     first = groups[0]
-    if n_groups == 1 and not cache_bits and all(c.width is not None for c in first[:4]) and first[0].symbols.max() < 256:
-        return _flat_pixels(bits, first, width * height).reshape(height, width)
+    if main and n_groups == 1 and not cache_bits and all(c.only is not None for c in first[1:4]) and width * height >= PLANE_PIXELS:
+        constant = first[3].only << 24 | first[1].only << 16 | first[2].only
+        return (np.uint32(constant) | _green_plane(bits, first[0], first[4], width, height).astype(np.uint32) << np.uint32(8)).reshape(height, width)
     return _pixels(bits, groups, groups_of, group_bits, cache_bits, width, height)
 
 
-def _flat_pixels(bits: _Bits, codes: list[_Code], n: int) -> np.ndarray:
-    """All pixels at once: each takes the same number of bits."""
-    widths = [c.width for c in codes[:4]]
-    each = sum(widths)
-    if bits.at + n * each > bits.end:
+#: Pixels from which an image in which green alone varies is read by arrays.
+PLANE_PIXELS = 256
+#: Bits at which tokens are looked up at once.
+WINDOW = 1 << 18
+
+
+@cache
+def _near_codes(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distance that each plane code stands for, by code; and the smallest code of each near distance, zero where there is none."""
+    far = np.array([1, *(max(1, x + y * width) for x, y in PLANE)], np.int64)
+    code = np.zeros(int(far.max()) + 1, np.int64)
+    for k in range(120, 0, -1):
+        code[far[k]] = k
+    return far, code
+
+
+def _lengths_of(prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least value of each prefix and the number of its extra bits."""
+    extra = np.where(prefix < 4, 0, (prefix - 2) >> 1)
+    return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << extra) + 1), extra
+
+
+def _green_plane(bits: _Bits, green: _Code, far: _Code, width: int, height: int) -> np.ndarray:
+    """The green samples of an image whose other channels are constant."""
+    n = width * height
+    if green.only is not None:
+        if green.only >= 256:
+            raise WebpError("a reference points outside the image")
+        return np.full(n, green.only, np.uint8)
+    raw = np.frombuffer(bits.data + bytes(8), np.uint8)
+    first, last = bits.at, bits.end
+    at, out_at, tokens = first, 0, []
+    while out_at < n:
+        if at >= last:
+            raise WebpError("the image data ends too early")
+        begin, end = at >> 3, min((at + WINDOW) >> 3, (last + 7) >> 3)
+        own = raw[begin : end + 8].astype(np.uint32)
+        words = own[:-3] | own[1:-2] << np.uint32(8) | own[2:-1] << np.uint32(16) | own[3:] << np.uint32(24)
+        read = lambda p: words[p >> 3] >> (p & 7).astype(np.uint32)  # noqa: E731, B023
+        size = (end - begin) * 8
+        seen = green.array[((words[: end - begin, None] >> np.arange(8, dtype=np.uint32)) & np.uint32(green.mask)).reshape(-1)]
+        follows = np.arange(size + 1, dtype=np.int32)
+        follows[:size] += seen & 15
+        copies = np.flatnonzero((seen >> 4) >= 256)
+        own_seen = seen[copies].astype(np.int64)
+        least, extra = _lengths_of((own_seen >> 4) - 256)
+        p = copies + (own_seen & 15)
+        inside = p + extra < size + 32  # tokens that reach over the end of what was read are read again
+        copies, least, extra, p = copies[inside], least[inside], extra[inside], p[inside]
+        length = least + (read(p) & ((1 << extra) - 1).astype(np.uint32))
+        p = p + extra
+        far_seen = far.array.astype(np.int64)[read(np.minimum(p, size + 31)) & np.uint32(far.mask)]
+        far_least, far_extra = _lengths_of(far_seen >> 4)
+        p = p + (far_seen & 15)
+        low = read(np.minimum(p, size + 31)).astype(np.int64) & 0xFFFF
+        high = read(np.minimum(p + 16, size + 31)).astype(np.int64) & 0xFFFF
+        distance = far_least + ((low | high << 16) & ((1 << far_extra) - 1))
+        follows[copies] = p + far_extra
+        stop = size if end * 8 >= last else size - 64
+        ahead = np.minimum(follows, size)
+        for _ in range(3):  # eight tokens on
+            ahead = ahead[ahead]
+        steps, where, k = memoryview(ahead), [], at - begin * 8
+        while k < stop:
+            where.append(k)
+            k = steps[k]
+        chain = [np.array(where, np.int32)]
+        for _ in range(7):
+            chain.append(follows[np.minimum(chain[-1], size)])
+        where = np.stack(chain, axis=1).reshape(-1)
+        done = int(np.argmax(where >= stop)) if (where >= stop).any() else len(where)
+        k = int(where[done]) if done < len(where) else k
+        where = where[:done]
+        symbol = seen[where] >> 4
+        count = np.ones(len(where), np.int64)
+        is_copy = symbol >= 256
+        place = np.searchsorted(copies, where[is_copy])
+        count[is_copy] = length[place]
+        tokens.append((symbol, count, is_copy, distance[place], begin * 8 + follows[where].astype(np.int64)))
+        out_at += int(count.sum())
+        at = begin * 8 + k
+    symbol, count, is_copy, distance, after = map(np.concatenate, zip(*tokens))
+    ends = np.cumsum(count)
+    kept = int(np.searchsorted(ends, n)) + 1
+    if after[kept - 1] > last:
         raise WebpError("the image data ends too early")
-    out = np.zeros(n, np.uint32)
-    raw = np.frombuffer(bits.data, np.uint8, offset=bits.at >> 3)
-    step = 1 << 16
-    for a in range(0, n, step):
-        m = min(step, n - a)
-        first = (bits.at & 7) + a * each
-        own = np.unpackbits(raw[first >> 3 : (first + m * each + 7) >> 3], bitorder="little")[first & 7 :][: m * each].reshape(m, each)
-        at = 0
-        for code, width, shift in zip(codes, widths, (8, 16, 0, 24)):
-            value = np.zeros(m, np.uint32)
-            for k in range(width):
-                value = (value << 1) | own[:, at + k]
-            out[a : a + m] |= code.symbols.astype(np.uint32)[value] << np.uint32(shift)
-            at += width
-    bits.at += n * each
-    return out
+    if ends[kept - 1] != n:
+        raise WebpError("a reference points outside the image")
+    symbol, count, is_copy, starts = symbol[:kept], count[:kept], is_copy[:kept], (ends - count)[:kept]
+    distance = distance[: int(is_copy.sum())]
+    near, _ = _near_codes(width)
+    distance = np.where(distance > 120, distance - 120, near[np.minimum(distance, 120)])
+    if (distance > starts[is_copy]).any():
+        raise WebpError("a reference points outside the image")
+    plane = np.zeros(n, np.uint8)
+    plane[starts[~is_copy]] = symbol[~is_copy]
+    out = memoryview(plane)
+    for a, many, back in zip(starts[is_copy].tolist(), count[is_copy].tolist(), distance.tolist()):
+        if back >= many:
+            out[a : a + many] = out[a - back : a - back + many]
+        else:
+            out[a : a + many] = (bytes(out[a - back : a]) * (many // back + 1))[:many]
+    return plane
 
 
 def _pixels(bits: _Bits, groups: list, groups_of: np.ndarray | None, group_bits: int, cache_bits: int, width: int, height: int) -> np.ndarray:
@@ -267,21 +379,44 @@ def _modes(data: np.ndarray, bits: int, width: int, height: int) -> np.ndarray:
     return np.repeat(np.repeat(spread, 1 << bits, 0), 1 << bits, 1)[:height, :width]
 
 
+#: Modes that need the pixel to the left.
+LEFTWARD = (1, 5, 6, 7, 10, 11, 12, 13)
+
+
 def _unpredict(argb: np.ndarray, data: np.ndarray, bits: int) -> np.ndarray:
+    """Row by row: stretches of one mode at once, or pixel by pixel where a mode other than `left` needs what is left of it; all rows at once where all pixels are predicted black."""
     height, width = argb.shape
-    mode = _modes(data, bits, width, height)
-    rest = _bytes4(argb).astype(np.int16)
-    out = np.zeros_like(rest)
-    black = np.array([0, 0, 0, 255], np.int16)
-    out[0, 0] = (rest[0, 0] + black) & 255
-    for x in range(1, width):
-        out[0, x] = (rest[0, x] + out[0, x - 1]) & 255
+    modes = ((data >> 8) & 0xF).astype(np.intp)
+    parts = _bytes4(argb).copy()
+    parts[0, :1, 3] += np.uint8(255)
+    parts[0] = np.cumsum(parts[0], axis=0, dtype=np.uint8)
+    parts[:, 0] = np.cumsum(parts[:, 0], axis=0, dtype=np.uint8)
+    if np.isin(modes, (0, 14, 15)).all():
+        parts[1:, 1:, 3] += np.uint8(255)
+        return _words(parts)
+    out = parts.astype(np.int16)
     for y in range(1, height):
-        out[y, 0] = (rest[y, 0] + out[y - 1, 0]) & 255
-        for x in range(1, width):
-            right = out[y - 1, x + 1] if x + 1 < width else out[y, 0]
-            guess = _predicted(mode[y, x : x + 1], out[y, x - 1][None], out[y - 1, x][None], right[None], out[y - 1, x - 1][None])[0]
-            out[y, x] = (rest[y, x] + guess) & 255
+        above, own = out[y - 1], out[y]
+        right = np.concatenate((above[1:], own[:1]))
+        for cell, mode in enumerate(modes[y >> bits].tolist()):
+            a, b = max(1, cell << bits), min(width, (cell + 1) << bits)
+            if a >= b:
+                continue
+            if mode == 1:
+                own[a - 1 : b] = np.cumsum(own[a - 1 : b], axis=0) & 255
+                continue
+            if mode in (0, 14, 15):
+                own[a:b, 3] = (own[a:b, 3] + 255) & 255
+                continue
+            if mode == 2:
+                own[a:b] = (own[a:b] + above[a:b]) & 255
+                continue
+            wide = np.full((1, 1), mode)
+            if mode not in LEFTWARD:
+                own[a:b] = (own[a:b] + _predicted(np.full(b - a, mode), above[a:b], above[a:b], right[a:b], above[a - 1 : b - 1])) & 255
+                continue
+            for x in range(a, b):
+                own[x] = (own[x] + _predicted(wide[0], own[x - 1 : x], above[x : x + 1], right[x : x + 1], above[x - 1 : x])[0]) & 255
     return _words(out)
 
 
@@ -401,21 +536,32 @@ class _Out:
 
 def _huffman(counts: list[int], most: int) -> list[int]:
     """Code lengths up to `most`; rare symbols are taken for less rare until the lengths fit."""
+    used = [s for s, c in enumerate(counts) if c]
+    lengths = [0] * len(counts)
+    if len(used) < 2:
+        for s in used:
+            lengths[s] = 1
+        return lengths
     floor = 1
     while True:
-        heap = [(max(c, floor), i, (s,)) for i, (s, c) in enumerate((s, c) for s, c in enumerate(counts) if c)]
-        lengths, i = [0] * len(counts), len(heap)
-        if len(heap) == 1:
-            lengths[heap[0][2][0]] = 1
-            return lengths
-        heapq.heapify(heap)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in a[2] + b[2]:
-                lengths[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], i, a[2] + b[2]))
-            i += 1
-        if max(lengths, default=0) <= most:
+        leaves = sorted((max(counts[s], floor), s) for s in used)
+        n = len(leaves)
+        weight, up = [w for w, _ in leaves], [0] * (2 * n - 1)
+        leaf, inner = 0, n
+        for new in range(n, 2 * n - 1):  # the two lightest of the leaves and inner nodes that are left
+            total = 0
+            for _ in range(2):
+                if inner >= new or leaf < n and weight[leaf] <= weight[inner]:
+                    total, up[leaf], leaf = total + weight[leaf], new, leaf + 1
+                else:
+                    total, up[inner], inner = total + weight[inner], new, inner + 1
+            weight.append(total)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[up[k]] + 1
+        if max(depth[:n]) <= most:
+            for (_, s), d in zip(leaves, depth):
+                lengths[s] = d
             return lengths
         floor *= 2
 
@@ -429,7 +575,7 @@ class _Writer:
 
     def __post_init__(self):
         one = sum(map(bool, self.lengths)) <= 1
-        self.codes = [_reversed(c, n) for c, n in zip(_canonical(self.lengths), self.lengths)]
+        self.codes = _written_codes(self.lengths)
         self.sizes = [0] * len(self.lengths) if one else self.lengths
 
     def put(self, out: _Out, symbol: int) -> None:
@@ -447,13 +593,25 @@ class _Writer:
                 out.put(s, 8)
             return
         out.put(0, 1)
-        own = _Writer(_huffman([self.lengths.count(n) for n in range(16)] + [0, 0, 0], 7))
+        steps = []  # code lengths, and runs of zeros as (symbol, value of the extra bits, their number)
+        for n, run in groupby(self.lengths):
+            many = len(list(run))
+            while not n and many >= 3:
+                k = min(many, 138)
+                steps.append((17, k - 3, 3) if k <= 10 else (18, k - 11, 7))
+                many -= k
+            steps += [(n, 0, 0)] * many
+        counts = [0] * 19
+        for k, _, _ in steps:
+            counts[k] += 1
+        own = _Writer(_huffman(counts, 7))
         out.put(15, 4)
         for s in LENGTH_ORDER:
             out.put(own.lengths[s], 3)
         out.put(0, 1)
-        for n in self.lengths:
-            own.put(out, n)
+        codes, sizes = own.codes, own.sizes
+        for k, extra, n in steps:
+            out.put(codes[k] | extra << sizes[k], sizes[k] + n)
 
 
 def _prefix(value: int) -> tuple[int, int, int]:
@@ -492,6 +650,18 @@ def _tokens(argb: np.ndarray, width: int, cache_bits: int, references: bool) ->
     return out
 
 
+def _put_only(out: _Out, symbol: int) -> None:
+    """A prefix code of one symbol."""
+    out.put(0b101 | symbol << 3, 11)
+
+
+def _put_constant(out: _Out, argb: int) -> None:
+    """An image, not the main one, whose pixels are all alike: no cache, and codes that take no bits."""
+    out.put(0, 1)
+    for symbol in (argb >> 8 & 255, argb >> 16 & 255, argb & 255, argb >> 24, 0):
+        _put_only(out, symbol)
+
+
 def _put_image(out: _Out, argb: np.ndarray, main: bool, cache_bits: int = 0, references: bool = False, group_bits: int = 0) -> None:
     height, width = argb.shape
     out.put(int(cache_bits > 0), 1)
@@ -550,77 +720,203 @@ def _header(out: _Out, width: int, height: int, alpha: int) -> None:
     out.put(0, 3)
 
 
-def encode(argb: np.ndarray, transforms: tuple[int, ...] = (), cache_bits: int = 0, references: bool = True, group_bits: int = 0, block_bits: int = 3) -> bytes:
-    """A WebP file of ARGB pixels with the transforms asked for, in that order; a palette must come alone or first."""
+def _put_palette(out: _Out, argb: np.ndarray, colours: np.ndarray) -> np.ndarray:
+    """Write a palette of the sorted colours; returns the image of indices, several in a pixel where the colours are few."""
+    height, width = argb.shape
+    out.put(1 | PALETTE << 1, 3)
+    out.put(len(colours) - 1, 8)
+    _put_image(out, _words(np.diff(_bytes4(colours), axis=0, prepend=np.zeros((1, 4), np.uint8)))[None], False)
+    bits = _palette_bits(len(colours))
+    wide = np.zeros((height, _cells(width, bits) << bits), np.uint32)
+    wide[:, :width] = np.searchsorted(colours, argb)
+    packed = (wide.reshape(height, -1, 1 << bits) << (np.arange(1 << bits, dtype=np.uint32) * np.uint32(8 >> bits))).sum(-1, dtype=np.uint32)
+    return np.uint32(OPAQUE) | packed << np.uint32(8)
+
+
+def encode(argb: np.ndarray, transforms: tuple[int, ...] = (), cache_bits: int = 0, references: bool = True, group_bits: int = 0, block_bits: int = 3, cross: int | None = None) -> bytes:
+    """A WebP file of ARGB pixels with the transforms asked for, in that order; a palette must come alone or first. cross: the multipliers of the cross-colour transform, else mixed ones."""
     out = _Out()
     height, width = argb.shape
     _header(out, width, height, 1)
     mixed = np.random.default_rng(0)
     for kind in transforms:
-        out.put(1, 1)
-        out.put(kind, 2)
+        if kind != PALETTE:
+            out.put(1, 1)
+            out.put(kind, 2)
         cells = _cells(height, block_bits), _cells(argb.shape[1], block_bits)
         if kind == PREDICTOR:
             data = (np.arange(cells[0] * cells[1], dtype=np.uint32) % 14).reshape(cells) << np.uint32(8)
             argb_next = _predict(argb, data, block_bits)
         elif kind == CROSS_COLOUR:
-            data = mixed.integers(0, 1 << 24, cells).astype(np.uint32) | np.uint32(OPAQUE)
+            data = (mixed.integers(0, 1 << 24, cells) if cross is None else np.full(cells, cross)).astype(np.uint32) | np.uint32(OPAQUE)
             argb_next = _cross(argb, data, block_bits, True)
         elif kind == SUBTRACT_GREEN:
             data, argb_next = None, _green(argb, -1)
         else:
-            colours, index = np.unique(argb, return_inverse=True)
-            bits = _palette_bits(len(colours))
-            index = index.reshape(argb.shape).astype(np.uint32)
-            wide = np.zeros((height, _cells(width, bits) << bits), np.uint32)
-            wide[:, :width] = index
-            packed = (wide.reshape(height, -1, 1 << bits) << (np.arange(1 << bits, dtype=np.uint32) * np.uint32(8 >> bits))).sum(-1, dtype=np.uint32)
-            argb_next = np.uint32(OPAQUE) | packed << np.uint32(8)
-            out.put(len(colours) - 1, 8)
-            steps = _bytes4(colours)
-            _put_image(out, _words(np.diff(steps, axis=0, prepend=np.zeros((1, 4), np.uint8)))[None], False)
-            argb = argb_next
+            argb = _put_palette(out, argb, np.unique(argb))
             continue
         if data is not None:
             out.put(block_bits - 2, 3)
-            _put_image(out, data, False)
+            _put_image(out, data, False) if (data != data[0, 0]).any() else _put_constant(out, int(data[0, 0]))
         argb = argb_next
     out.put(0, 1)
     _put_image(out, argb, True, cache_bits, references, group_bits)
     return _wrapped(out.bits())
 
 
+#: Bytes that a copy of encode_samples has in common with what it copies, at least.
+MATCH = 8
+#: Copies are at most so long; codes of the fast writer too.
+LONGEST_COPY, CODE_BITS = 4096, 11
+#: Rows up to which encode_samples takes the cross-colour transform and a colour cache.
+SMALL_ROWS = 4
+FEW_VALUES = 16
+#: Predictors' blocks are squares of 1 << PREDICTOR_BITS pixels.
+PREDICTOR_BITS = 5
+FULL_GREEN = 0x2020  # cross-colour multipliers of one for green to red and green to blue: takes the grey away
+
+
+def _copies(plane: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and distances of copies, which don't overlap: from the last place that has the next MATCH bytes, for as long as that distance holds."""
+    n = len(plane) - MATCH + 1
+    nothing = np.array([], np.int64)
+    if n < 2:
+        return nothing, nothing, nothing
+    words = np.ndarray((n,), "<u8", plane.tobytes(), strides=(1,)).copy()
+    order = (words * np.uint64(0x9E3779B97F4A7C15)) & ~np.uint64(0xFFFFF) | np.arange(n, dtype=np.uint64)
+    order.sort()
+    at = (order & np.uint64(0xFFFFF)).astype(np.int32)
+    order >>= np.uint64(20)
+    same = order[1:] == order[:-1]
+    distance = np.zeros(n + 1, np.int32)
+    later, earlier = at[1:][same], at[:-1][same]
+    true = words[later] == words[earlier]
+    distance[later[true]] = later[true] - earlier[true]
+    edge = np.flatnonzero(distance[1:] != distance[:-1]) + 1
+    edge = np.concatenate(([0], edge, [n + 1]))
+    firsts, lasts = edge[:-1], edge[1:]
+    has = distance[firsts] > 0
+    starts, far = firsts[has], distance[firsts[has]].astype(np.int64)
+    ends = np.minimum(lasts[has] + MATCH - 1, np.append(starts[1:], len(plane)))
+    times = -(-(ends - starts) // LONGEST_COPY)
+    if (times > 1).any():
+        part = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        starts, ends, far = (np.repeat(x, times) for x in (starts, ends, far))
+        starts = starts + part * LONGEST_COPY
+        ends = np.minimum(ends, starts + LONGEST_COPY)
+    kept = ends - starts >= 4
+    return starts[kept], (ends - starts)[kept], far[kept]
+
+
+def _prefixes(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_prefix of arrays."""
+    less = value - 1
+    extra = np.maximum(np.frexp(less.astype(float))[1] - 2, 0)
+    extra = np.where(value <= 4, 0, extra)
+    return np.where(value <= 4, less, 2 * extra + 2 + (less >> extra & 1)), less & ((1 << extra) - 1), extra
+
+
+#: Lengths of the distance codes that encode_samples writes: the nearer half and a little more are a bit shorter.
+FAR_LENGTHS = (5,) * 24 + (6,) * 16
+
+
+@cache
+def _far_head() -> tuple[int, int]:
+    """The bits that describe the distance code, and their number."""
+    out = _Out()
+    _Writer(list(FAR_LENGTHS)).describe(out)
+    own = out.bits()
+    return int.from_bytes(np.packbits(own, bitorder="little").tobytes(), "little"), len(own)
+
+
+def _put_plane(out: _Out, plane: np.ndarray, width: int, alpha: int) -> np.ndarray:
+    """Write the head and codes of an image whose green is `plane`, red and blue zero; returns the bits of its tokens."""
+    starts, lengths, far = _copies(plane)
+    cover = np.zeros(len(plane) + 1, np.int8)
+    cover[starts] = 1
+    cover[starts + lengths] -= 1
+    begins = np.cumsum(cover[:-1], dtype=np.int8) == 0
+    begins[starts] = True
+    at = np.flatnonzero(begins)
+    green = plane[at].astype(np.int64)
+    place = np.searchsorted(at, starts)
+    prefix, extra, bits = _prefixes(lengths)
+    green[place] = 256 + prefix
+    near = _near_codes(width)[1]
+    code = np.where(far < len(near), near[np.minimum(far, len(near) - 1)], 0)
+    far_prefix, far_extra, far_bits = _prefixes(np.where(code > 0, code, far + 120))
+    codes = [_Writer(_huffman(np.bincount(green, minlength=280).tolist(), CODE_BITS)), _Writer(list(FAR_LENGTHS))]
+    out.put(0, 2)  # no colour cache, one group of codes
+    codes[0].describe(out)
+    for value in (0, 0, alpha):
+        _put_only(out, value)
+    out.put(*_far_head())
+    # four fields a token: its code, and for copies the extra bits, the distance's code and its extra bits
+    value, size = np.zeros((len(at), 4), np.int32), np.zeros((len(at), 4), np.int8)
+    value[:, 0], size[:, 0] = np.array(codes[0].codes)[green], np.array(codes[0].sizes)[green]
+    for k, (v, s) in enumerate(((extra, bits), (np.array(codes[1].codes)[far_prefix], np.array(codes[1].sizes)[far_prefix]), (far_extra, far_bits)), 1):
+        value[place, k], size[place, k] = v, s
+    value, size = value.reshape(-1), size.reshape(-1)
+    there = np.flatnonzero(size)
+    value, size = value[there], size[there].astype(np.int64)
+    total = int(size.sum())
+    shift = np.arange(total, dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size)
+    return ((np.repeat(value, size) >> shift) & 1).astype(np.uint8)
+
+
+def _joined(out: _Out, plane: np.ndarray, alpha: int) -> np.ndarray:
+    """All bits: what was put before, and the image."""
+    tokens = _put_plane(out, plane.reshape(-1), plane.shape[1], alpha)
+    return np.concatenate((out.bits(), tokens))
+
+
+def _block_modes(plane: np.ndarray) -> np.ndarray:
+    """Of each block of samples: `left` or `top` where most samples equal that neighbour, else black."""
+    height, width = plane.shape
+    size = 1 << PREDICTOR_BITS
+    shape = _cells(height, PREDICTOR_BITS), _cells(width, PREDICTOR_BITS)
+    share = []
+    for equal in (plane[:, 1:] == plane[:, :-1], plane[1:] == plane[:-1]):
+        wide = np.zeros((shape[0] * size, shape[1] * size), np.int32)
+        wide[height - equal.shape[0] : height, width - equal.shape[1] : width] = equal
+        share.append(wide.reshape(shape[0], size, shape[1], size).sum((1, 3)))
+    half = size * size // 2
+    return np.where(share[0] > half, 1, np.where(share[1] > half, 2, 0)).astype(np.uint32)
+
+
 def encode_samples(samples: np.ndarray) -> bytes:
-    """A WebP file of 8-bit samples (height x width), held in the green channel.
+    """A WebP file of 8-bit samples (height x width): a grey picture, red and blue being as green.
 
-    The green code gives all its symbols the same length, which is as short as the number of distinct
-    samples allows; the other channels are constant and take no bits. So writing and reading need no loop
-    over pixels.
+    Up to FEW_VALUES values make a palette. Up to SMALL_ROWS rows go through the cross-colour transform and
+    a colour cache. All else goes through subtract-green and a predictor. Back-references in all of them.
     """
     height, width = samples.shape
-    used = np.flatnonzero(np.bincount(samples.reshape(-1), minlength=256))
-    n = max(1, int(len(used) - 1).bit_length())
-    if len(used) > 1:
-        free = np.setdiff1d(np.arange(256), used)
-        used = np.sort(np.concatenate((used, free[: (1 << n) - len(used)])))
-    lengths = np.zeros(280, int)
-    lengths[used] = n
+    values = np.flatnonzero(np.bincount(samples.reshape(-1), minlength=256))
+    grey = lambda v: np.uint32(OPAQUE) | v.astype(np.uint32) * np.uint32(0x010101)
+    if len(values) > FEW_VALUES and height <= SMALL_ROWS:
+        return encode(grey(samples), (CROSS_COLOUR,), cache_bits=2, cross=FULL_GREEN)
     out = _Out()
     _header(out, width, height, 0)
-    out.put(0, 3)  # no transform, no colour cache, one group of codes
-    green = _Writer(lengths.tolist())
-    green.describe(out)
-    for value in (0, 0, 255, 0):
-        one = [0] * 256
-        one[value] = 1
-        _Writer(one).describe(out)
-    if len(used) == 1:
-        return _wrapped(out.bits())
-    place = np.zeros(256, np.uint8)
-    place[used] = np.arange(len(used))
-    index = place[samples.reshape(-1)]
-    body = np.unpackbits(index[:, None], axis=1)[:, 8 - n :].reshape(-1)
-    return _wrapped(np.concatenate((out.bits(), body)))
+    if len(values) <= FEW_VALUES:
+        packed = _put_palette(out, grey(samples), grey(values))
+        out.put(0, 1)
+        return _wrapped(_joined(out, ((packed >> 8) & 0xFF).astype(np.uint8), 255))
+    out.put(1 | SUBTRACT_GREEN << 1, 3)
+    out.put(1 | PREDICTOR << 1, 3)
+    out.put(PREDICTOR_BITS - 2, 3)
+    modes = _block_modes(samples)
+    _put_image(out, modes << np.uint32(8), False) if modes.any() else _put_constant(out, 0)
+    out.put(0, 1)
+    rest = samples.copy()
+    spread = np.repeat(np.repeat(modes, 1 << PREDICTOR_BITS, 0), 1 << PREDICTOR_BITS, 1)[:height, :width]
+    if modes.any():
+        left, top = np.zeros_like(samples), np.zeros_like(samples)
+        left[:, 1:], top[1:] = samples[:, :-1], samples[:-1]
+        rest -= np.where(spread == 1, left, np.where(spread == 2, top, np.uint8(0)))
+    rest[0, 1:] = samples[0, 1:] - samples[0, :-1]
+    rest[0, 0] = samples[0, 0]
+    rest[1:, 0] = samples[1:, 0] - samples[:-1, 0]
+    return _wrapped(_joined(out, rest, 0))
 
 
 # ---- media columns --------------------------------------------------------------------------------
@@ -686,15 +982,22 @@ def pixel_rows(media: DataFrame, column: str = "media", key: str = "doc_id") ->
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Of media_rows' result: what the stored bytes give when they are read back."""
+    """Of media_rows' result: what the stored bytes give when they are read back.
+
+    A null file gives nulls. Rows that repeat give equal rows, an empty table an empty result. A file that is
+    no lossless WebP is an error, since these are the operator's own.
+    """
+    names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+    def one(raw: bytes | None) -> tuple:
+        if raw is None:
+            return (None,) * len(names)
+        samples = load(raw)
+        payload = samples.tobytes()
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(samples)
 
     def of(part: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
-        for raw in part.column("media").to_pylist():
-            samples = load(raw)
-            payload = samples.tobytes()
-            for k, v in zip(out, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(samples))):
-                out[k].append(v)
-        return {"doc_id": part.column("doc_id"), "n_bytes": part.column("n_bytes"), **out}
+        found = [one(raw) for raw in part.column("media").to_pylist()]
+        return {"doc_id": part.column("doc_id"), "n_bytes": part.column("n_bytes"), **{k: [f[i] for f in found] for i, k in enumerate(names)}}
 
-    return map_rows(media, "media", of, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_rows(media.select("doc_id", "n_bytes", "media"), "media", of, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
