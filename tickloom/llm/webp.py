@@ -15,8 +15,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from dataclasses import dataclass, field
-from functools import cache, cached_property
-from itertools import groupby
+from functools import cache, cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -141,6 +140,12 @@ def _short_code(symbols: tuple[int, ...]) -> _Code:
     return _Code(lengths)
 
 
+@lru_cache(64)
+def _coded(lengths: tuple[int, ...]) -> _Code:
+    """Codes that many files share are made once."""
+    return _Code(list(lengths))
+
+
 def _read_code(bits: _Bits, alphabet: int) -> _Code:
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
@@ -179,7 +184,7 @@ def _read_code(bits: _Bits, alphabet: int) -> _Code:
     if place > bits.end:
         raise WebpError("the image data ends too early")
     bits.at = place
-    return _Code(lengths)
+    return _coded(tuple(lengths)) if alphabet == 40 else _Code(lengths)
 
 
 # ---- decoding -------------------------------------------------------------------------------------
@@ -566,6 +571,24 @@ def _huffman(counts: list[int], most: int) -> list[int]:
         floor *= 2
 
 
+def _repeats(steps: list[tuple], before: int) -> list[tuple]:
+    """Steps in which 16 marks one more of the length before: three to six of them become one step, fewer the length itself."""
+    out, held = [], 0
+    for step in [*steps, None]:
+        if step is not None and step[0] == 16:
+            held += 1
+            continue
+        while held >= 3:
+            out.append((16, min(held, 6) - 3, 2))
+            held -= min(held, 6)
+        out += [(before, 0, 0)] * held
+        held = 0
+        if step is not None:
+            before = step[0] if 0 < step[0] < 16 else before
+            out.append(step)
+    return out
+
+
 @dataclass
 class _Writer:
     """A prefix code for writing."""
@@ -593,14 +616,18 @@ class _Writer:
                 out.put(s, 8)
             return
         out.put(0, 1)
-        steps = []  # code lengths, and runs of zeros as (symbol, value of the extra bits, their number)
-        for n, run in groupby(self.lengths):
-            many = len(list(run))
-            while not n and many >= 3:
-                k = min(many, 138)
-                steps.append((17, k - 3, 3) if k <= 10 else (18, k - 11, 7))
-                many -= k
-            steps += [(n, 0, 0)] * many
+        steps = []  # code lengths, and runs of zeros or of the same length as (symbol, value of the extra bits, their number)
+        at, before = 0, 8
+        for s in [*used, len(self.lengths)]:
+            while (many := min(s - at, 138)) >= 3:
+                steps.append((17, many - 3, 3) if many <= 10 else (18, many - 11, 7))
+                at += many
+            steps += [(0, 0, 0)] * (s - at)
+            if s < len(self.lengths):
+                n = self.lengths[s]
+                steps.append((16, 0, 0) if n == before else (n, 0, 0))
+                before, at = n, s + 1
+        steps = _repeats(steps, 8)
         counts = [0] * 19
         for k, _, _ in steps:
             counts[k] += 1
@@ -820,11 +847,16 @@ def _prefixes(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 FAR_LENGTHS = (5,) * 24 + (6,) * 16
 
 
+@cache
+def _far_writer() -> _Writer:
+    return _Writer(list(FAR_LENGTHS))
+
+
 @cache
 def _far_head() -> tuple[int, int]:
     """The bits that describe the distance code, and their number."""
     out = _Out()
-    _Writer(list(FAR_LENGTHS)).describe(out)
+    _far_writer().describe(out)
     own = out.bits()
     return int.from_bytes(np.packbits(own, bitorder="little").tobytes(), "little"), len(own)
 
@@ -845,7 +877,7 @@ def _put_plane(out: _Out, plane: np.ndarray, width: int, alpha: int) -> np.ndarr
     near = _near_codes(width)[1]
     code = np.where(far < len(near), near[np.minimum(far, len(near) - 1)], 0)
     far_prefix, far_extra, far_bits = _prefixes(np.where(code > 0, code, far + 120))
-    codes = [_Writer(_huffman(np.bincount(green, minlength=280).tolist(), CODE_BITS)), _Writer(list(FAR_LENGTHS))]
+    codes = [_Writer(_huffman(np.bincount(green, minlength=280).tolist(), CODE_BITS)), _far_writer()]
     out.put(0, 2)  # no colour cache, one group of codes
     codes[0].describe(out)
     for value in (0, 0, alpha):
@@ -876,6 +908,8 @@ def _block_modes(plane: np.ndarray) -> np.ndarray:
     size = 1 << PREDICTOR_BITS
     shape = _cells(height, PREDICTOR_BITS), _cells(width, PREDICTOR_BITS)
     share = []
+    if 2 * max(np.count_nonzero(plane[:, 1:] == plane[:, :-1]), np.count_nonzero(plane[1:] == plane[:-1])) <= size * size:
+        return np.zeros(shape, np.uint32)  # not enough for half a block
     for equal in (plane[:, 1:] == plane[:, :-1], plane[1:] == plane[:-1]):
         wide = np.zeros((shape[0] * size, shape[1] * size), np.int32)
         wide[height - equal.shape[0] : height, width - equal.shape[1] : width] = equal
