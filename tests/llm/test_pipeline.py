@@ -50,7 +50,7 @@ def test_stages_against_plain_python(spark, documents, labels, tmp_path, monkeyp
     folder = {}
     monkeypatch.setattr(pipeline, "shared_folder", lambda spark: folder.setdefault("at", str(tmp_path)))
     found, room = defaultdict(int), defaultdict(int)
-    packed = pipeline.run(spark, SMALL).collect()
+    packed = pipeline.run(spark, SMALL, keep=True).collect()
     for r in packed:
         found[r["doc_id"]] += r["length"]
         room[r["sequence_id"]] += r["length"]

@@ -395,3 +395,25 @@ def test_long_images_are_read_in_windows(monkeypatch):
 def test_null_media(spark):
     media = spark.createDataFrame([(1, None, None)], "doc_id long, n_bytes long, media binary")
     assert [r["payload_bytes"] for r in webp.media_features(media).collect()] == [None]
+
+
+@pytest.mark.parametrize("piece", ["<script ", "<p x", '<a "', '<a "x>" ', "<a 'x>\" ", "<svg>", "<svg></svg", '<p "', "</p "])
+def test_broken_markup_takes_a_time_that_grows_with_the_page(piece):
+    import time
+
+    took = []
+    for size in (250_000, 2_000_000):
+        page = "<p>One.</p>" + piece * (size // len(piece))
+        began = time.process_time()
+        html_extract.blocks(page)
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * took[0] + 1.5
+
+
+def test_elements_without_an_end_hide_nothing_but_scripts_and_styles():
+    texts = lambda page: [b.text for b in html_extract.blocks(page)]
+    assert texts("<p>One.</p><object data=x><p>Two is here.</p>") == ["One.", "Two is here."]
+    assert texts("<p>One.</p><svg><g><p>Two.</p><iframe src=x><p>Three.</p>") == ["One.", "Two.", "Three."]
+    assert texts("<p>One <svg><text>hidden</text></svg>two.</p><noscript>off</noscript><p>x<math><mi>y</mi></math></p>") == ["One two.", "xy"]
+    assert texts("<p>One.</p><script>var a = '<p>no</p>'") == ["One."]
+    assert texts("<p title='a > b'>One.</p><p title=\"it's>Two.</p>") == ["One.", "Two."]

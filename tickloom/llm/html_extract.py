@@ -9,8 +9,9 @@ learned transitions; Viterbi finds the best sequence. The blocks in state main a
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cache, lru_cache
 from html import unescape
 
 import numpy as np
@@ -25,12 +26,14 @@ from tickloom.llm.crf import slopes, viterbi
 #: Elements that end a run of text, elements that hold no element, and elements whose content is no text of the page.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT_TAGS = frozenset("script style template noscript textarea title iframe object svg math noembed noframes xmp".split())
+RAW_TAGS = frozenset("script style".split())
+SILENT_TAGS = RAW_TAGS | frozenset("template noscript textarea title iframe svg noembed noframes xmp".split())
 #: What an opening tag closes if it is still open, up to the nearest of the second set.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
 CLOSES_P = BLOCK_TAGS - {"option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "head", "html", "legend"}
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_SPECIAL = re.compile("[>\"']")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PARTS = re.compile(r"[A-Za-z]+")
 OTHER, MAIN = 0, 1
@@ -55,8 +58,72 @@ def _names(attributes: str) -> tuple[str, ...]:
     return tuple(sorted({w.lower() for w in _PARTS.findall(found)}))
 
 
+class _Scanner:
+    """Finds markup in one pass: what proves to be missing behind some place is not sought again behind later ones."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.dead: set[int] = set()  # quotes from which no end of a tag is reached
+        self.unclosed: set[str] = set()
+        self.skip = 0  # where to go on behind content that is hidden
+
+    def markup(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """Start, end, tag ('' for comments and declarations), whether it closes, attributes."""
+        html, at = self.html, 0
+        while (start := html.find("<", at)) >= 0:
+            at = start + 1
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                at = end + 3 if end >= 0 else len(html)
+                yield start, at, "", False, ""
+            elif html.startswith(("<!", "<?"), start):
+                end = html.find(">", start)
+                if end < 0:
+                    return
+                at = end + 1
+                yield start, at, "", False, ""
+            elif found := _TAG.match(html, start):
+                at = self._tag_end(found.end())
+                if at < 0:
+                    return  # no tag ends from here on
+                yield start, at, found[2].lower(), found[1] == "/", html[found.end() : at - 1]
+                at = max(at, self.skip)
+
+    def _tag_end(self, at: int) -> int:
+        """Behind the first > outside of quotes, or else behind the first; -1 if there is none."""
+        html, place, opened = self.html, at, []
+        while (special := _SPECIAL.search(html, place)) and special.start() not in self.dead:
+            if special[0] == ">":
+                return special.end()
+            opened.append(special.start())
+            place = html.find(special[0], special.end()) + 1
+            if not place:
+                break
+        self.dead.update(opened)
+        return html.find(">", at) + 1 or -1
+
+    def element_end(self, tag: str, at: int) -> int:
+        """Behind the end tag of the element, or -1."""
+        if tag in self.unclosed:
+            return -1
+        found = _end_tag(tag).search(self.html, at)
+        end = self.html.find(">", found.end()) if found else -1
+        if end < 0:
+            self.unclosed.add(tag)
+        return end + 1 or -1
+
+
+@cache
+def _end_tag(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I)
+
+
 def blocks(html: str | None) -> list[Block]:
-    """The text blocks of a page, in order. Broken markup is read as far as it goes; null has none."""
+    """The text blocks of a page, in order, in time that grows with its length. Broken markup is read as far as it goes; null has none.
+
+    An element whose content is no text hides it up to its end tag; without one, a script or style hides the
+    rest of the page, as browsers have it, and any other hides nothing.
+    """
     if not html:
         return []
     out: list[Block] = []
@@ -73,23 +140,19 @@ def blocks(html: str | None) -> list[Block]:
                 out.append(Block(whole, tuple(path), min(linked, len(whole))))
             text, linked = [], 0
 
-    for found in _MARKUP.finditer(html):
-        start = found.start()
-        if start < at:
-            continue
+    scanner = _Scanner(html)
+    for start, end, tag, closing, attributes in scanner.markup():
         if start > at:
             text.append(html[at:start])
             if in_link:
                 linked += start - at
-        at = found.end()
-        tag = found[2] or found[5]
+        at = end
         if not tag:
             continue
-        tag, closing = tag.lower(), (found[1] or found[4]) == "/"
         if tag in SILENT_TAGS:
-            if not closing and not (found[3] or found[6] or "").endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(html, at)
-                at = end.end() if end else n
+            if not closing and not attributes.endswith("/"):
+                after = scanner.element_end(tag, at)
+                at = scanner.skip = after if after > 0 else n if tag in RAW_TAGS else at
             text.append(" ")
         elif tag in BLOCK_TAGS:
             flush()
@@ -99,7 +162,7 @@ def blocks(html: str | None) -> list[Block]:
                 if tag in CLOSES:
                     _close(path, *CLOSES[tag])
                 if tag not in VOID_TAGS:
-                    path.append((tag, _names(found[3] or found[6] or "")))
+                    path.append((tag, _names(attributes)))
             elif any(t == tag for t, _ in path):
                 while path.pop()[0] != tag:
                     pass
