@@ -315,3 +315,28 @@ def test_places_of_values(spark):
     found = aggregates.with_places(spark.createDataFrame([(v,) for v in values], "v double"), "v").collect()
     assert sorted((r["v"], r["times"], r["upto"], r["total"]) for r in found) == [(1.0, 2, 2, 6), (2.0, 1, 3, 6), (3.0, 3, 6, 6)]
     assert aggregates.with_places(spark.createDataFrame([], "v double"), "v").count() == 0
+
+
+def test_repeated_orders_are_told_by_the_last_that_passed(spark):
+    """Of orders with one key at 0, 4, 6 and 10 seconds, with a window of 5: the second and the fourth repeat one that passed."""
+    from tickloom.operators import risk
+
+    names = "order_id string, ts double, side string, order_type string, quantity double, price double, mid double, quote_ts double, order_key string, position double"
+    rows = [(f"o{t}", float(t), "BUY", "LIMIT", 1.0, 10.0, 10.0, None, "k", 0.0) for t in (0, 4, 6, 10)] + [("bad", 5.0, "BUY", "LIMIT", 0.0, 10.0, 10.0, None, "k", 0.0), ("free", 5.0, "SELL", "MARKET", 1.0, None, None, 1.0, None, 0.0)]
+    orders = spark.createDataFrame(rows, names)
+    found = {r["order_id"]: r["rejected_by"] for r in risk.validate(orders, risk.OrderLimits(idempotency_window_s=5.0)).collect()}
+    assert found == {"o0": None, "o4": "DUPLICATE_ORDER", "o6": None, "o10": "DUPLICATE_ORDER", "bad": "INVALID_QUANTITY", "free": None}
+    found = {r["order_id"]: r["rejected_by"] for r in risk.validate(orders, risk.OrderLimits(allow_short=False, max_quote_age_s=3.0)).collect()}
+    assert found["free"] == "STALE_QUOTE" and found["o4"] is None
+    assert {r["rejected_by"] for r in risk.validate(orders, risk.OrderLimits(kill_switch=True)).collect()} == {"KILL_SWITCH"}
+
+
+def test_mean_gap_of_a_source(spark):
+    from tickloom.operators import recurrences
+
+    times = [0.0, 1.0, 1.0, 3.0, 3.5]
+    mean = 1.0
+    for gap in (2.0, 0.5):
+        mean = 0.9 * mean + 0.1 * gap
+    found = recurrences.inter_arrival(spark.createDataFrame([("s", t) for t in times], "source string, exchange_timestamp double")).collect()
+    assert [(r["source"], round(r["interval_s"], 9), r["gaps"]) for r in found] == [("s", round(mean, 9), 3)]

@@ -10,7 +10,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NAN = float("nan")
@@ -111,3 +112,22 @@ def reliability(rows: DataFrame, share: float = 0.02) -> DataFrame:
         return pd.DataFrame({"source": [own["source"].iloc[0]], "n": [len(own)], "latency": [latency], "error_rate": [error], "gap_rate": [gap], "dup_rate": [dup], "score": [round(score, 4)]})
 
     return rows.select("source", "event_id", "receive_timestamp", "exchange_timestamp", "quality_status", "reasons").groupBy("source").applyInPandas(fold, schema)
+
+
+#: Newest rows of a source that its mean of gaps is made of: the weight of older ones, 0.9 to this power, is no number any more.
+NEWEST = 20_000
+
+
+def inter_arrival(ticks: DataFrame, keep: float = 0.9) -> DataFrame:
+    """Per source the exponential mean of the gaps between its ticks' times (equal times make none), starting from the first gap; and their number.
+
+    Weights are counted from the newest gap, so that only the newest rows of a source matter and each task
+    passes on no more of them.
+    """
+    newest = Window.partitionBy("source").orderBy(F.desc("exchange_timestamp"))
+    rows = ticks.select("source", "exchange_timestamp").distinct().withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= NEWEST)
+    gaps = rows.withColumn("_gap", F.col("exchange_timestamp") - F.lead("exchange_timestamp").over(newest)).where("_gap is not null")
+    weight = F.pow(F.lit(keep), F.col("_n") - 1)
+    sums = gaps.groupBy("source").agg(F.sum(F.col("_gap") * weight * (1 - keep)).alias("_s"), F.max_by("_gap", "_n").alias("_first"), F.max("_n").alias("_kept"))
+    counts = ticks.groupBy("source").agg((F.count_distinct("exchange_timestamp") - 1).alias("gaps"))
+    return sums.join(counts, "source").select("source", (F.col("_s") + F.col("_first") * F.pow(F.lit(keep), F.col("_kept"))).alias("interval_s"), "gaps")

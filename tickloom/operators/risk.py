@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -70,3 +72,56 @@ def pre_trade(orders: DataFrame, limits: dict[str, float]) -> DataFrame:
     ]
     verdict = F.coalesce(*(F.when(when, F.lit(name)) for when, name in gates))
     return orders.withColumn("rejected_by", verdict).withColumn("accepted", F.col("rejected_by").isNull())
+
+
+#: What an order is rejected for, in the order of the gates.
+GATES = ("KILL_SWITCH", "INVALID_QUANTITY", "FAT_FINGER_QTY", "STALE_QUOTE", "PRICE_COLLAR", "MAX_NOTIONAL", "SHORT_SELLING_DISABLED", "MAX_POSITION", "SYMBOL_CAP", "VENUE_CAP", "GROSS_EXPOSURE", "DUPLICATE_ORDER")
+
+
+@dataclass(frozen=True)
+class OrderLimits:
+    """What an order may be; infinite where nothing is asked."""
+
+    kill_switch: bool = False
+    max_order_qty: float = float("inf")
+    max_quote_age_s: float = float("inf")
+    price_collar_bps: float = float("inf")
+    max_order_notional: float = float("inf")
+    allow_short: bool = True
+    max_position_qty: float = float("inf")
+    per_symbol_notional_cap: float = float("inf")
+    per_venue_notional_cap: float = float("inf")
+    max_gross_exposure: float = float("inf")
+    idempotency_window_s: float = 0.0
+
+
+def validate(orders: DataFrame, limits: OrderLimits = OrderLimits()) -> DataFrame:
+    """Add rejected_by, the first gate of GATES that an order fails, or null.
+
+    orders: order_id, ts, side, order_type, quantity, price, mid, quote_ts, order_key (each may be null but the
+    first two), and what is held before it: position, venue_exposure, gross_exposure. An order repeats
+    another if that had its key, passed and came less than the window before; those rejected don't count.
+    """
+    inf, lim = float("inf"), limits
+    reference = F.coalesce(F.when(F.col("price") != 0, F.col("price")), F.col("mid"))
+    priced = F.coalesce(reference > 0, F.lit(False))
+    notional = F.when(priced, F.col("quantity") * reference).otherwise(F.lit(0.0))
+    after = F.col("position") + F.when(F.upper("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity"))
+    number = F.col("quantity").isNull() | F.isnan("quantity") | (F.abs("quantity") == F.lit(inf)) | (F.col("quantity") <= 0)
+    collar = (F.upper("order_type") == "LIMIT") & (F.col("mid") > 0) & (F.abs(F.col("price") - F.col("mid")) / F.col("mid") * F.lit(10_000.0) > F.lit(lim.price_collar_bps))
+    tests = [
+        F.lit(lim.kill_switch), number, F.col("quantity") > lim.max_order_qty, F.col("ts") - F.col("quote_ts") > lim.max_quote_age_s, collar, notional > lim.max_order_notional,
+        F.lit(not lim.allow_short) & (after < 0), F.abs(after) > lim.max_position_qty, priced & (F.abs(after) * reference > lim.per_symbol_notional_cap),
+        F.coalesce("venue_exposure", F.lit(0.0)) + notional > lim.per_venue_notional_cap, F.coalesce("gross_exposure", F.lit(0.0)) + notional > lim.max_gross_exposure,
+    ]
+    judged = orders.withColumn("rejected_by", F.coalesce(*(F.when(t, F.lit(name)) for t, name in zip(tests, GATES))))
+    if not lim.idempotency_window_s:
+        return judged
+    # of each key, the times of orders that pass otherwise, folded in order: the last that passed, and who repeats it
+    came = F.array_sort(F.collect_list(F.struct("ts", "order_id")))
+    late = lambda s, x: s["last"].isNotNull() & (x["ts"] - s["last"] < lim.idempotency_window_s)
+    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast(f"array<{dict(orders.dtypes)['order_id']}>").alias("again"))
+    step = lambda s, x: F.struct(F.when(late(s, x), s["last"]).otherwise(x["ts"]).alias("last"), F.when(late(s, x), F.concat(s["again"], F.array(x["order_id"]))).otherwise(s["again"]).alias("again"))
+    keyed = judged.where("rejected_by is null and order_key is not null").select("order_key", F.col("ts").cast("double").alias("ts"), "order_id")
+    again = keyed.groupBy("order_key").agg(F.aggregate(came, start, step).alias("s")).select(F.explode("s.again").alias("order_id"), F.lit("DUPLICATE_ORDER").alias("_again"))
+    return judged.join(again, "order_id", "left").withColumn("rejected_by", F.coalesce("rejected_by", "_again")).drop("_again")
