@@ -99,10 +99,11 @@ def validate(orders: DataFrame, limits: OrderLimits = OrderLimits()) -> DataFram
     """Add rejected_by, the first gate of GATES that an order fails, or null.
 
     orders: order_id, ts, side, order_type, quantity, price, mid, quote_ts, order_key (each may be null but the
-    first two), and what is held before it: position, venue_exposure, gross_exposure. An order repeats
+    first two), and what is held before it: position, and if known venue_exposure, gross_exposure. An order repeats
     another if that had its key, passed and came less than the window before; those rejected don't count.
     """
     inf, lim = float("inf"), limits
+    held = lambda c: F.coalesce(F.col(c), F.lit(0.0)) if c in orders.columns else F.lit(0.0)
     reference = F.coalesce(F.when(F.col("price") != 0, F.col("price")), F.col("mid"))
     priced = F.coalesce(reference > 0, F.lit(False))
     notional = F.when(priced, F.col("quantity") * reference).otherwise(F.lit(0.0))
@@ -112,7 +113,7 @@ def validate(orders: DataFrame, limits: OrderLimits = OrderLimits()) -> DataFram
     tests = [
         F.lit(lim.kill_switch), number, F.col("quantity") > lim.max_order_qty, F.col("ts") - F.col("quote_ts") > lim.max_quote_age_s, collar, notional > lim.max_order_notional,
         F.lit(not lim.allow_short) & (after < 0), F.abs(after) > lim.max_position_qty, priced & (F.abs(after) * reference > lim.per_symbol_notional_cap),
-        F.coalesce("venue_exposure", F.lit(0.0)) + notional > lim.per_venue_notional_cap, F.coalesce("gross_exposure", F.lit(0.0)) + notional > lim.max_gross_exposure,
+        held("venue_exposure") + notional > lim.per_venue_notional_cap, held("gross_exposure") + notional > lim.max_gross_exposure,
     ]
     judged = orders.withColumn("rejected_by", F.coalesce(*(F.when(t, F.lit(name)) for t, name in zip(tests, GATES))))
     if not lim.idempotency_window_s:
