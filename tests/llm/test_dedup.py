@@ -64,6 +64,7 @@ def test_index_merges_its_runs(spark, monkeypatch):
         index.add(spark.createDataFrame([(10 * k + i, f"t{(k + i) % 7}") for i in range(4)], "doc_id long, text string"))
         assert len(index.runs()) <= 4
     assert sorted(r["keep_id"] for r in index.entries().collect()) == [0, 1, 2, 3, 13, 23, 33]
+    assert exact_dedup.DigestIndex(spark, index.name, 9).buckets == 4  # an index keeps the number it was made with
     index.drop()
 
 

@@ -49,14 +49,22 @@ def _sorted_scans(spark: SparkSession) -> Iterator[None]:
 
 
 class DigestIndex:
-    """The digests (digest, keep_id) of all texts seen, in `buckets` buckets sorted by digest.
+    """The digests (digest, keep_id) of all texts seen, in buckets sorted by digest.
 
-    The number of buckets is fixed when the index is made: choose it so that a bucket of the final index
-    fits a task (about 60 bytes a distinct text). `name` is the caller's; drop() removes the tables.
+    The number of buckets is fixed when the index is made, as `buckets` or else as many as a shuffle has
+    partitions: choose it so that a bucket of the final index fits a task (about 60 bytes a distinct text).
+    An index that is there keeps its own number. `name` is the caller's; drop() removes the tables.
     """
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int = 64):
-        self.spark, self.name, self.buckets = spark, name, buckets
+    def __init__(self, spark: SparkSession, name: str, buckets: int | None = None):
+        self.spark, self.name = spark, name
+        self.buckets = self._held_buckets() or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _held_buckets(self) -> int | None:
+        for t in self.runs()[:1]:
+            for r in self.spark.sql(f"DESCRIBE EXTENDED {t}").where("col_name = 'Num Buckets'").collect():
+                return int(r["data_type"])
+        return None
 
     def runs(self) -> list[str]:
         """The tables of the index, oldest first."""
