@@ -118,16 +118,32 @@ def held_out(key: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """Fit on rows of `labels` (doc_id, toxic) that are not held out; null labels are passed over.
 
-    The texts of at most settings.sample rows a label reach the driver; the share of toxic rows is counted
-    over all of them. An id that has several labels counts as toxic if one says so; of several texts, the first.
+    The texts of at most settings.sample rows a label meet in one task, which fits and returns the non-zero
+    weights; no text reaches the driver. The share of toxic rows is counted over all rows. An id that has
+    several labels counts as toxic if one says so; of several texts, the first. Without texts or with one
+    label alone the model gives the labels' side to every text; without labels it calls every text clean.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(counts.values())
+    prior = counts.get(1, 0) / total if total else None
     picked = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample) for k in (0, 1)]
     sample = F.broadcast(picked[0].unionByName(picked[1]).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    rows = id_text(docs).join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
-    total = sum(counts.values())
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows], counts.get(1, 0) / total if total else None, settings)
+    rows = id_text(docs).join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+
+    def run(batches):
+        parts = [b.select(["text", "toxic"]) for b in batches]
+        column = lambda name: [v for b in parts for v in b.column(name).to_pylist()]
+        model = fit(column("text"), column("toxic"), prior, settings)
+        at = np.flatnonzero(model.weights).astype("<i4")
+        yield pa.RecordBatch.from_pydict({"at": [at.tobytes()], "value": [model.weights[at].astype("<f4").tobytes()], "bias": [model.bias]})
+
+    fitted = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(run, "at binary, value binary, bias double").collect()
+    if not fitted:
+        return fit([], [], prior, settings)
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[np.frombuffer(fitted[0]["at"], "<i4")] = np.frombuffer(fitted[0]["value"], "<f4")
+    return Model(weights, fitted[0]["bias"])
 
 
 def _setup(docs: DataFrame, model: Model):
