@@ -299,11 +299,11 @@ def _true_links(known: DataFrame, nodes: DataFrame, loose: DataFrame, words: int
     Groups of one block are compared at once. Of larger ones each block is compared with the root; then
     those that aren't joined to the root with all blocks.
     """
-    members = checkpoint(nodes.select(F.col("id").alias("node"), "size").join(loose, "node"))
+    members = checkpoint(nodes.select(F.col("id").alias("node"), "size").join(loose, "node").groupBy("node", "root").agg(F.sum("size").alias("size")))
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / SET_BLOCK, F.sum("size") / SET_SHINGLES)).cast("int")
-    # written first, so that both sides come straight from a shuffle and a hot root can be split
+    # written first, so that both sides come straight from a shuffle, and nothing above the join that needs its partitioning: a hot root can be split
     sizes = checkpoint(members.groupBy("root").agg(blocks.alias("blocks")))
-    placed = checkpoint(members.join(sizes.hint("merge"), "root").select("node", "root", "blocks").distinct())
+    placed = checkpoint(members.join(sizes.hint("merge"), "root").select("node", "root", "blocks"))
 
     def of(part: pa.RecordBatch) -> dict:
         return {c: part.column(c) for c in ("id", "root", "blocks")} | {"hashes": [shingle_hashes(t, words).tobytes() for t in part.column("text").to_pylist()]}
