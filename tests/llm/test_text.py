@@ -307,8 +307,16 @@ def licenses_by_hand(text):
     import re
 
     table, rules = license_scan.known(), license_scan.rules()
-    cut = [[table[n] for s in re.split(ends, text or "") if (n := license_scan.normalise(s)) in table] for ends in (license_scan.ENDS, license_scan.ENDS_LINES)]
-    ids = cut[0] if len(cut[0]) > len(cut[1]) else cut[1]
+    ids = []
+    for sentence in re.split(license_scan.ENDS, text or ""):
+        if (whole := license_scan.normalise(sentence)) in table:
+            ids.append(table[whole])
+            continue
+        lines, i = [n for line in re.split(license_scan.LINES, sentence) if (n := license_scan.normalise(line))], 0
+        while i < len(lines):
+            end = next((j for j in range(len(lines), i, -1) if " ".join(lines[i:j]) in table), None)
+            ids += [table[" ".join(lines[i:end])]] if end else []
+            i = end or i + 1
     out, at = [], 0
     while at < len(ids):
         hit = next(((licence, names) for licence, names in rules if tuple(ids[at : at + len(names)]) == names), None)

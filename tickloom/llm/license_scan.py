@@ -98,9 +98,8 @@ RULES = (
     ("All-Rights-Reserved", ("all.rights",)),
 )
 
-#: A sentence ends at a full stop, exclamation or question mark before white space, and at a blank line; where lines are cut, at every line's end.
+#: A sentence ends at a full stop, exclamation or question mark before white space, and at a blank line.
 ENDS = r"[.!?][ \t\r\n\f\v]+|\r?\n[ \t]*\r?\n[ \t\r\n]*"
-ENDS_LINES = r"[.!?][ \t\r\n\f\v]+|[\r\n]+"
 LINES = r"[\r\n]+"
 _OTHER = "[^A-Za-z0-9.+]+"
 
@@ -184,17 +183,21 @@ def scan_sql() -> str:
     values = lambda pairs: ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in pairs)
     sequences = {_written(names): licence for licence, names in reversed(rules())}
 
-    def cut(name: str, ends: str) -> str:
-        return f"""{name} AS (SELECT doc_id, list(id ORDER BY place) AS ids FROM (
-            SELECT doc_id, s.place, known.id FROM (SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS place
-                FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), {quoted(ends)}) AS parts FROM documents)) s
-            JOIN known ON known.sentence = lower(regexp_replace(regexp_replace(regexp_replace(part, {quoted(_OTHER)}, ' ', 'g'), '^[. ]+', ''), '[. ]+$', ''))) GROUP BY doc_id)"""
+    clean = lambda s: f"lower(regexp_replace(regexp_replace(regexp_replace({s}, {quoted(_OTHER)}, ' ', 'g'), '^[. ]+', ''), '[. ]+$', ''))"
+    # two bars between lines, so that a match takes one on each side and needs no look around itself
+    marked = f"'||' || array_to_string(list_transform(string_split_regex(part, {quoted(LINES)}), lambda l: {clean('l')}), '||') || '||'"
+    run = run_pattern().removeprefix(r"(?<=\|)").removesuffix(r"(?=\|)")
 
     return f"""
 WITH known(sentence, id) AS (VALUES {values(known().items())}), rule(seq, licence) AS (VALUES {values(sequences.items())}),
-{cut("whole", ENDS)}, {cut("lines", ENDS_LINES)},
-ids AS (SELECT documents.doc_id, CASE WHEN coalesce(len(whole.ids), 0) > coalesce(len(lines.ids), 0) THEN whole.ids ELSE coalesce(lines.ids, []) END AS ids
-        FROM documents LEFT JOIN whole USING (doc_id) LEFT JOIN lines USING (doc_id)),
+parts AS (SELECT doc_id, part, place, {clean('part')} AS sentence FROM (SELECT doc_id, unnest(p) AS part, unnest(range(len(p))) AS place
+          FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), {quoted(ENDS)}) AS p FROM documents))),
+runs AS (SELECT doc_id, place, unnest(m) AS run, unnest(range(len(m))) AS nth
+         FROM (SELECT doc_id, place, regexp_extract_all({marked}, {quoted(chr(92) + '|' + run + chr(92) + '|')}, 1) AS m FROM parts ANTI JOIN known USING (sentence))),
+found AS (SELECT doc_id, place, 0 AS nth, id FROM parts JOIN known USING (sentence)
+          UNION ALL SELECT doc_id, place, nth, id FROM runs JOIN known ON known.sentence = regexp_replace(run, '[|]+', ' ', 'g')),
+listed AS (SELECT doc_id, list(id ORDER BY place, nth) AS ids FROM found GROUP BY doc_id),
+ids AS (SELECT documents.doc_id, coalesce(listed.ids, []) AS ids FROM documents LEFT JOIN listed USING (doc_id)),
 seqs AS (SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, coalesce(array_to_string(list_transform(ids, lambda x: x || ';'), ''), '') AS sentence_ids FROM ids),
 hits AS (SELECT *, regexp_extract_all(sentence_ids, {quoted(rule_pattern())}) AS m FROM seqs),
 named AS (SELECT doc_id, string_agg(licence, ',' ORDER BY i) AS licenses FROM (SELECT doc_id, unnest(m) AS seq, unnest(range(len(m))) AS i FROM hits) JOIN rule USING (seq) GROUP BY doc_id)
