@@ -229,10 +229,14 @@ def audit_chain_verified(spark, d):
     return audit.verify_chain(audit.append_chain(_entries(spark, d))).groupBy("fault").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("merkle_root", """WITH l AS (SELECT r_regionkey AS i, unhex(sha256('\\x00'::BLOB || encode(r_name))) AS h FROM region), a AS (SELECT i // 2 AS i, CASE WHEN count(*) = 1 THEN min_by(h, i) ELSE unhex(sha256('\\x01'::BLOB || min_by(h, i) || max_by(h, i))) END AS h FROM l GROUP BY i // 2),
-  b AS (SELECT i // 2 AS i, CASE WHEN count(*) = 1 THEN min_by(h, i) ELSE unhex(sha256('\\x01'::BLOB || min_by(h, i) || max_by(h, i))) END AS h FROM a GROUP BY i // 2), c AS (SELECT unhex(sha256('\\x01'::BLOB || min_by(h, i) || max_by(h, i))) AS h FROM b) SELECT lower(hex(h)) AS root FROM c""")
+@query("merkle_root", f"""WITH RECURSIVE {TICKS}, leaves AS (SELECT row_number() OVER (ORDER BY sequence_number) - 1 AS i, count(*) OVER () AS n, unhex(sha256('\\x00'::BLOB || encode(event_id || '|' || instrument_id))) AS h FROM ticks),
+  levels AS (SELECT i, n, h FROM leaves UNION ALL SELECT i // 2, (min(n) + 1) // 2, CASE WHEN count(*) = 1 THEN min_by(h, i) ELSE unhex(sha256('\\x01'::BLOB || min_by(h, i) || max_by(h, i))) END FROM levels WHERE n > 1 GROUP BY i // 2)
+  SELECT lower(hex(h)) AS root FROM levels WHERE n = 1""")
 def merkle_root(spark, d):
-    return audit.merkle_levels(table(spark, d, "region").select(F.col("r_regionkey").alias("seq"), F.col("r_name").alias("data")))
+    """Over every tick; ticks are numbered without gaps, as merkle_levels asks."""
+    t = ticks(spark, d)
+    first = t.agg(F.min("sequence_number")).first()[0] or 0
+    return audit.merkle_levels(t.select((F.col("sequence_number") - first).alias("seq"), F.concat_ws("|", "event_id", "instrument_id").alias("data")))
 
 
 # ---- formats --------------------------------------------------------------------------------------

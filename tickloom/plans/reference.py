@@ -107,9 +107,9 @@ def feed_recovered(spark, d):
 
 @query("matching_engine")
 def matching_engine(spark, d):
-    """An order for every tenth trade: bids at its price, every other one to be cancelled after an hour."""
-    t = _trades(spark, d).where("sequence_number % 10 = 1")
-    orders = t.select(F.concat(F.lit("o-"), "event_id").alias("order_id"), "instrument_id", F.when(F.col("sequence_number") % 20 == 1, "BUY").otherwise("SELL").alias("side"), F.when(F.col("sequence_number") % 50 == 1, None).otherwise(F.col("price")).alias("price"), F.lit(10.0).alias("quantity"), "exchange_timestamp", F.when(F.col("sequence_number") % 20 == 11, F.col("exchange_timestamp") + 3600).alias("cancel_ts"))
+    """An order for every trade: bids at its price and asks by turns, every fifth one at the market, every fourth one to be cancelled after an hour."""
+    t, n = _trades(spark, d), F.col("sequence_number")
+    orders = t.select(F.concat(F.lit("o-"), "event_id").alias("order_id"), "instrument_id", F.when(n % 2 == 1, "BUY").otherwise("SELL").alias("side"), F.when(n % 5 == 1, None).otherwise(F.col("price")).alias("price"), F.lit(10.0).alias("quantity"), "exchange_timestamp", F.when(n % 4 == 3, F.col("exchange_timestamp") + 3600).alias("cancel_ts"))
     return machines.match(ticks(spark, d), orders)
 
 
