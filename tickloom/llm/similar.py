@@ -46,6 +46,8 @@ SHORT = 24
 #: Documents, and shingles, of a block of a loose group.
 SET_BLOCK = 512
 SET_SHINGLES = 500_000
+#: Links up to which one task finds the groups (some 100 MB); more take rounds of joins until they are as few.
+LINKS = 500_000
 PRINTS = ["fa", "fb"]
 COLUMNS = ["key", "id", *PRINTS]
 EDGE = "a long, b long, hot int"
@@ -317,7 +319,7 @@ def _true_links(known: DataFrame, nodes: DataFrame, loose: DataFrame, words: int
     large = placed.where("blocks > 1")
     if not large.limit(1).count():
         return found
-    reached = components(found).withColumnRenamed("root", "mark")
+    reached = components(found, at_once=LINKS).withColumnRenamed("root", "mark")
     marks = checkpoint(large.join(reached, "node", "left").select("node", "root", "blocks", F.coalesce("mark", "node").alias("mark")))
     hub = checkpoint(marks.where("node = root").select("root", F.col("mark").alias("hub")))
     split = checkpoint(marks.join(hub.hint("merge"), "root").select("node", "root", "blocks", (F.col("mark") != F.col("hub")).cast("int").alias("rest")))
@@ -356,6 +358,6 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFram
     hot = met.where("hot = 1").select(F.col("a").cast("int").alias("key"))
     if hot.limit(1).count():
         edges = edges.unionByName(_hot_links(cells, hot, most, parts))
-    roots = components(_true_links(known, nodes, components(edges), words, similarity, parts))
+    roots = components(_true_links(known, nodes, components(edges, at_once=LINKS), words, similarity, parts), at_once=LINKS)
     named = nodes.join(roots, nodes.id == roots.node, "left").select("da", "db", F.coalesce("root", "id").alias("group_id"))
     return prints.select("doc_id", "da", "db").join(named.hint("merge"), ["da", "db"]).groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
