@@ -221,15 +221,18 @@ def epoch_seconds(ts: Column) -> Column:
     return F.when(ts.isNull() | F.isnan(ts) | (ts <= 0) | (ts == float("inf")), ts).when(ts >= 1e17, ts / 1e9).when(ts >= 1e14, ts / 1e6).when(ts >= 1e11, ts / 1e3).otherwise(ts)
 
 
-def normalise(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Raw events (source, payload JSON, receive_timestamp, raw_id) as ticks, and those rejected with their error."""
+def normalise(raw: DataFrame, any_sign: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Raw events (source, payload JSON, receive_timestamp, raw_id) as ticks, and those rejected with their error.
+
+    any_sign: trades may have a price of zero or below, as those of spreads do; it must be there all the same.
+    """
     kind = F.upper(F.trim(_j("$.event_type")))
     number = lambda p: _j(p).try_cast("double")
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     error = (F.when(F.get_json_object("payload", "$").isNull(), "payload is no object")
         .when(F.coalesce(F.trim(_j("$.instrument")), F.lit("")) == "", "instrument is missing")
         .when(~F.coalesce(kind, F.lit("")).isin("TRADE", "QUOTE", "HALT", "STATUS"), "event_type is unknown")
-        .when((kind == "TRADE") & ~(finite(number("$.price")) & (number("$.price") > 0)), "price is missing or not positive")
+        .when((kind == "TRADE") & ~(finite(number("$.price")) & (F.lit(any_sign) | (number("$.price") > 0))), "price is missing or not positive")
         .when((kind == "TRADE") & ~(finite(number("$.quantity")) & (number("$.quantity") > 0)), "quantity is missing or not positive")
         .when((kind == "QUOTE") & ~(finite(number("$.bid")) & finite(number("$.ask"))), "bid or ask is missing")
         .when(_j("$.sequence").isNotNull() & _j("$.sequence").try_cast("long").isNull(), "sequence is no integer"))
