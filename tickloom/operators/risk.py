@@ -60,11 +60,14 @@ def concentration(positions: DataFrame, by: str = "instrument_id", value: str =
     return shares.select(by, "share").crossJoin(total)
 
 
-def pre_trade(orders: DataFrame, limits: dict[str, float]) -> DataFrame:
-    """The first limit that an order breaks, or none: quantity, notional, distance from the reference price, position after it."""
+def pre_trade(orders: DataFrame, limits: dict[str, float], any_sign: bool = False) -> DataFrame:
+    """The first limit that an order breaks, or none: quantity, notional, distance from the reference price, position after it.
+
+    any_sign: a price of zero or below is none that breaks a limit by itself.
+    """
     gates = [
         (F.col("quantity") <= 0, "BAD_QUANTITY"),
-        (F.col("price") <= 0, "BAD_PRICE"),
+        (F.lit(not any_sign) & (F.col("price") <= 0), "BAD_PRICE"),
         (F.col("quantity") > limits.get("max_quantity", float("inf")), "ORDER_SIZE"),
         (F.col("quantity") * F.col("price") > limits.get("max_notional", float("inf")), "ORDER_NOTIONAL"),
         (F.abs(F.col("price") - F.col("reference")) > F.col("reference") * limits.get("max_deviation", float("inf")), "PRICE_BAND"),
