@@ -96,6 +96,8 @@ class OrderLimits:
     per_venue_notional_cap: float = float("inf")
     max_gross_exposure: float = float("inf")
     idempotency_window_s: float = 0.0
+    #: Whether a price of zero is a price; else it stands for none, and the midpoint is taken.
+    zero_is_price: bool = False
 
 
 def validate(orders: DataFrame, limits: OrderLimits = OrderLimits()) -> DataFrame:
@@ -107,7 +109,7 @@ def validate(orders: DataFrame, limits: OrderLimits = OrderLimits()) -> DataFram
     """
     inf, lim = float("inf"), limits
     held = lambda c: F.coalesce(F.col(c), F.lit(0.0)) if c in orders.columns else F.lit(0.0)
-    reference = F.coalesce(F.when(F.col("price") != 0, F.col("price")), F.col("mid"))
+    reference = F.coalesce(F.when(F.lit(lim.zero_is_price) | (F.col("price") != 0), F.col("price")), F.col("mid"))
     priced = F.coalesce(reference > 0, F.lit(False))
     notional = F.when(priced, F.col("quantity") * reference).otherwise(F.lit(0.0))
     after = F.col("position") + F.when(F.upper("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity"))
